@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -43,10 +44,11 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder, so that a lost executor costs no recomputation and lineage ends."""
-    return spark_read(df, tag)[0]
+    return written_at(df, tag)[0]
 
 
-def spark_read(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+def written_at(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """As written(), with the path, for tables that go before the session ends."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
@@ -59,7 +61,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8_0
         if batch.num_rows == 0:
             continue
         lengths = batch.column(column)
-        sizes = np.asarray(pa.compute.binary_length(lengths).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        sizes = np.asarray(pc.binary_length(lengths).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
         run = np.cumsum(sizes)
         begin = 0
         while begin < len(sizes):
