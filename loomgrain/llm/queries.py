@@ -7,16 +7,38 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgrain.llm import bpe
+from loomgrain.llm import bpe, decontaminate, language_id, simhash_dedup, token_blocks
 from loomgrain.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_blocks.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.digest(table(spark, sf_dir, "documents"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Query] = {"op10_bpe": op10_bpe}
+QUERIES: dict[str, Query] = {
+    "op1_token_blocks": op1_token_blocks,
+    "op4_language_id": op4_language_id,
+    "op6_simhash": op6_simhash,
+    "op8_decontaminate": op8_decontaminate,
+    "op10_bpe": op10_bpe,
+}
 
 SQL: dict[str, str] = {}
