@@ -1,4 +1,7 @@
-"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again as the next one's input.
+
+Every stage but the last gives the columns of ``documents``. Rows that it drops are gone for the stages behind it.
+"""
 
 from __future__ import annotations
 
@@ -6,8 +9,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomgrain.llm import bpe
+from loomgrain.llm import bpe, decontaminate, language_id, line_templates, simhash_dedup
 from loomgrain.llm.shared import written
 from loomgrain.sources.tables import table
 
@@ -16,16 +20,43 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with n_tokens and the digests of its ids and of their decoding."""
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with letters of which one learned language has at least half."""
+    model = language_id.train(docs)
+    return language_id.accepted(docs.select(COLUMNS), model)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines of recurring templates; n_chars follows. One of which nothing stays is dropped."""
+    kept = line_templates.dedup(docs.select(COLUMNS))
+    kept = kept.where((F.col("n_dropped") == 0) | (F.trim("text") != ""))
+    return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest doc_id."""
+    return simhash_dedup.keep_first(docs.select(COLUMNS))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of ``benchmark``."""
+    return decontaminate.clean(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document that is left, with n_tokens and the digests of its ids and of their decoding."""
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("bpe", encode),
+    ("language", languages),
+    ("lines", lines),
+    ("simhash", near_copies),
+    ("decontaminate", decontaminated),
+    ("bpe", encoded),
 ]
 
-#: No stage can be told whole in SQL; tests hold run() against a brute-force version.
+#: Language models and tokenizers have no SQL; tests hold run() against a brute-force version.
 ORACLE_SQL: str | None = None
 
 

@@ -10,7 +10,6 @@ of their id; the model is a table of BUCKETS rows and one column a language, wha
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -192,6 +191,18 @@ def _labels(model: Model, column: pa.Array, switch: float) -> tuple[np.ndarray,
     return offsets, codes, viterbi(_scores(model, words), codes, offsets, switch), lengths, words
 
 
+def _picked(model: Model, column: pa.Array, switch: float) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each text's language, one behind the last for none, and its share of the letters."""
+    n, n_lang = len(column), len(model.languages)
+    if not n_lang:
+        return np.zeros(n, np.int64), np.zeros(n)
+    offsets, codes, label, lengths, _ = _labels(model, column, switch)
+    doc = np.repeat(np.arange(n), np.diff(offsets))
+    mass = np.bincount(doc * n_lang + label, lengths[codes], minlength=n * n_lang).reshape(n, n_lang)
+    total = mass.sum(axis=1)
+    return np.where(total > 0, mass.argmax(axis=1), n_lang), np.where(total > 0, mass.max(axis=1) / np.maximum(total, 1), 0.0)
+
+
 def predict(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
     """doc_id, lang_pred and score (the share of the letters that carry it) of every whole text.
 
@@ -202,23 +213,26 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped.value
-        names, n_lang = [*own.languages, UND], len(own.languages)
+        names = [*own.languages, UND]
         for batch in slices(batches, "text"):
-            n = batch.num_rows
-            if not n_lang:
-                pick, score = np.zeros(n, np.int64), np.zeros(n)
-            else:
-                offsets, codes, label, lengths, _ = _labels(own, batch.column("text"), switch)
-                doc = np.repeat(np.arange(n), np.diff(offsets))
-                mass = np.bincount(doc * n_lang + label, lengths[codes], minlength=n * n_lang).reshape(n, n_lang)
-                total = mass.sum(axis=1)
-                pick = np.where(total > 0, mass.argmax(axis=1), n_lang)
-                score = np.where(total > 0, mass.max(axis=1) / np.maximum(total, 1), 0.0)
+            pick, score = _picked(own, batch.column("text"), switch)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([names[k] for k in pick.tolist()], pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: Model, least: float = 0.5, switch: float = SWITCH) -> DataFrame:
+    """The rows, with all their columns, whose text has letters and gives at least ``least`` of them to one language."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            pick, score = _picked(shipped.value, batch.column("text"), switch)
+            yield batch.filter(pa.array((pick < len(shipped.value.languages)) & (score >= least)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def spans(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
     """doc_id, begin, end (code points of the lower-cased text, end exclusive) and lang of each run of words in one language."""
     import regex
@@ -230,17 +244,16 @@ def spans(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
         own = shipped.value
         for batch in slices(batches, "text"):
             out: list[tuple[int | None, int, int, str]] = []
-            offsets, _, label, _, _ = _labels(own, batch.column("text"), switch) if own.languages else (np.zeros(batch.num_rows + 1, int), *[np.zeros(0, int)] * 4)
+            offsets, label = np.zeros(batch.num_rows + 1, np.int64), np.zeros(0, np.int16)
+            if own.languages:
+                offsets, _, label, _, _ = _labels(own, batch.column("text"), switch)
             lowered = pc.utf8_lower(batch.column("text").fill_null("")).to_pylist()
             for k, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), lowered, strict=True)):
-                if offsets[k] == offsets[k + 1]:
-                    continue
-                for m, lang in zip(letters.finditer(text), label[offsets[k] : offsets[k + 1]].tolist(), strict=True):
-                    if out and out[-1][0] == doc and out[-1][3] == own.languages[lang] and out[-1][1] <= m.start() and out[-1][2] < m.start() and fresh == k:
-                        out[-1] = (doc, out[-1][1], m.end(), own.languages[lang])
-                    else:
-                        out.append((doc, m.start(), m.end(), own.languages[lang]))
-                    fresh = k
+                before = -1
+                for m, lang in zip(letters.finditer(text) if offsets[k] < offsets[k + 1] else (), label[offsets[k] : offsets[k + 1]].tolist(), strict=True):
+                    begin = out.pop()[1] if lang == before else m.start()
+                    out.append((doc, begin, m.end(), own.languages[lang]))
+                    before = lang
             yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "begin", "end", "lang"), x, strict=True)) for x in out], schema=pa.schema([("doc_id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, begin long, end long, lang string")
@@ -255,7 +268,3 @@ def digest(docs: DataFrame) -> DataFrame:
     """Learns from the labelled rows that aren't held out and predicts for all."""
     model = train(docs.where(~held_out() & F.col("doc_id").isNotNull()))
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
-
-
-def has_letter(text: str) -> bool:
-    return any(unicodedata.category(c)[0] == "L" for c in text)

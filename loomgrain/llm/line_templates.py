@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgrain.llm.shared import written
+from loomgrain.llm.shared import fresh, written
 
 DEPTH = 3
 MIN_WORDS = 5
@@ -102,12 +102,19 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with the text that stays, and n_lines and n_dropped. A document of which nothing stays has the empty text."""
-    gone = recurring_lines(docs).groupBy("doc_id", "k").agg(F.collect_set("pos").alias("_gone"))
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("k").alias("_k"), "_gone")
-    keyed = docs.withColumn("_own", _key())
-    joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_k")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    """``docs`` with the text that stays, and n_lines and n_dropped in place of columns of those names.
+
+    A document of which nothing stays has the empty text.
+    """
+    own, gone, key, lost = (fresh(docs, x) for x in ("own_key", "gone_id", "gone_key", "gone"))
+    out = recurring_lines(docs).groupBy("doc_id", "k").agg(F.collect_set("pos").alias(lost)).select(F.col("doc_id").alias(gone), F.col("k").alias(key), lost)
+    joined = docs.withColumn(own, _key()).join(out, F.col("doc_id").eqNullSafe(F.col(gone)) & (F.col(own) == F.col(key)), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(lost, i)), "\n")
+    text = F.when(F.col(lost).isNull(), F.col("text")).otherwise(kept)
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n", -1)))
-    columns = [F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return joined.select(*columns, n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"))
+    rest = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    return joined.select(
+        *(text.alias("text") if c == "text" else F.col(c) for c in rest),
+        n_lines.cast("long").alias("n_lines"),
+        F.when(F.col(lost).isNull(), F.lit(0)).otherwise(F.size(lost)).cast("long").alias("n_dropped"),
+    )

@@ -74,3 +74,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8_0
 def texts(column: pa.Array) -> list[str]:
     """The values of a text column, null as the empty text."""
     return column.fill_null("").to_pylist()
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one where ``df`` has a column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrain.llm.components import connected_components
-from loomgrain.llm.shared import slices, texts, written
+from loomgrain.llm.shared import fresh, slices, texts, written
 
 DISTANCE = 3
 FAN = 16
@@ -280,5 +280,6 @@ def keep_first(docs: DataFrame) -> DataFrame:
     kept = groups(docs).where("doc_id = component_id").select("doc_id").distinct()
     whole = docs.join(kept, "doc_id", "left_semi")
     once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    first = whole.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").drop("_nth")
+    nth = fresh(docs, "nth")
+    first = whole.withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1).drop(nth)
     return first.unionByName(docs.where("doc_id is null")).select(docs.columns)
