@@ -196,19 +196,19 @@ def _found(templates: Templates, column: pa.Array) -> list[tuple[int, int, float
 
 
 def _best(matches: list[tuple[int, int, float, int, int]]) -> list[tuple[int, int, float, int, int]]:
-    """Without those that share a word with a better one; ties stay."""
+    """Without those of whose words better ones hold half or more; ties stay."""
     best: dict[tuple[int, int], float] = {}
     for row, _, share, begin, end in matches:
         for k in range(begin, end):
             best[row, k] = max(share, best.get((row, k), 0.0))
-    return [m for m in matches if all(best[m[0], k] <= m[2] for k in range(m[3], m[4]))]
+    return [m for m in matches if 2 * sum(best[m[0], k] > m[2] for k in range(m[3], m[4])) < m[4] - m[3]]
 
 
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = NOTICES) -> DataFrame:
     """doc_id, license, containment, begin and end (bare words of the text, end exclusive) of every template found.
 
     Null and empty texts and texts of fewer than five words hold none. Repeated rows each give their own. Where
-    templates overlap, those with the highest containment stay; without templates there are no rows.
+    templates overlap, one goes of which others with a higher containment cover half; without templates there are no rows.
     """
     spark, schema = docs.sparkSession, "doc_id long, license string, containment double, begin long, end long"
     all_found = None
