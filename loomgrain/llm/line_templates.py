@@ -33,8 +33,9 @@ _WITH_DIGIT = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*"
 
 
 def _masked(line: Column) -> Column:
-    spaced = F.trim(F.regexp_replace(F.translate(line, "\t\r", "  "), "  +", " "))
-    return F.when(spaced.rlike("[0-9]"), F.regexp_replace(spaced, _WITH_DIGIT, FIELD)).otherwise(spaced)
+    """The line with single spaces and its words with digits as fields. Most lines have nothing to change."""
+    spaced = F.regexp_replace(line, "[\t\r ]+", " ")
+    return F.trim(F.when(line.rlike("[0-9\t\r]|  "), F.regexp_replace(spaced, _WITH_DIGIT, FIELD)).otherwise(line))
 
 
 def _leaf(masked: Column) -> Column:
@@ -51,8 +52,9 @@ def _key() -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, k, pos and masked of every line that is long enough."""
-    cut = docs.select("doc_id", _key().alias("k"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return cut.select("doc_id", "k", "pos", _masked(F.col("line")).alias("masked")).where(_n_words(F.col("masked")) >= MIN_WORDS)
+    # masked inside the array, so that what stands above reads the result and doesn't mask again
+    cut = docs.select("doc_id", _key().alias("k"), F.posexplode(F.transform(F.split("text", "\n", -1), _masked)).alias("pos", "masked"))
+    return cut.where(_n_words(F.col("masked")) >= MIN_WORDS)
 
 
 def _recurring(lines: DataFrame, template: str) -> DataFrame:
