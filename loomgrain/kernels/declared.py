@@ -165,7 +165,8 @@ def _named(node: dict, prefixes: dict[str, str]) -> dict:
         if key == "@context":
             continue
         if key == "@type":
-            out[key] = [_term(t, prefixes) for t in (value if isinstance(value, list) else [value]) if isinstance(t, str)]
+            types = [_term(t, prefixes) for t in (value if isinstance(value, list) else [value]) if isinstance(t, str)]
+            out[key] = types[0] if len(types) == 1 else types
             continue
         name = key if key.startswith("@") else _term(key, prefixes)
         if name in out and key != name:
@@ -241,7 +242,7 @@ def microdata(tree: Node, url: str | None, size: int) -> list[dict[str, Any]]:
         out: dict[str, Any] = {}
         types = [t for x in (scope.get("itemtype") or "").split() if (t := type_name(x))]
         if types:
-            out["@type"] = types
+            out["@type"] = types[0] if len(types) == 1 else types
         many: set[str] = set()
         for prop in properties(scope):
             names = (prop.get("itemprop") or "").split()
@@ -311,7 +312,7 @@ def rdfa(tree: Node, url: str | None, size: int) -> list[dict[str, Any]]:
         inner = around
         if node.get("typeof") is not None:
             types = [t for x in (node.get("typeof") or "").split() if (t := full(x, vocab or "", prefixes))]
-            inner = {"@type": types} if types else {}
+            inner = {"@type": types[0] if len(types) == 1 else types} if types else {}
             many[id(inner)] = set()
             name = node.get("resource") or node.get("about")
             if name:

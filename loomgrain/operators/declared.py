@@ -102,7 +102,7 @@ def dublin_core(parsed: DataFrame) -> DataFrame:
 
 
 def twitter(parsed: DataFrame) -> DataFrame:
-    found = metas(parsed).withColumn("k", F.filter("keys", lambda x: x.startswith("twitter:"))[0]).where("k is not null")
+    found = metas(parsed).withColumn("k", F.get(F.filter("keys", lambda x: x.startswith("twitter:")), F.lit(0))).where("k is not null")
     return _first(found.select("page_id", "ord", F.substring("k", 9, 1000).alias("key"), "content"), "twitter")
 
 
@@ -121,8 +121,8 @@ _ARRAYS = (*_STRUCTURED, "locale:alternate", "music:musician", "video:director",
 
 def _og_rows(parsed: DataFrame) -> DataFrame:
     """page_id, nth, key, content of OpenGraph's tags: the protocol's own first, then the namespaces', each in order."""
-    own = F.filter("keys", lambda x: x.startswith("og:"))[0]
-    vertical = F.filter("keys", lambda x: reduce(lambda a, b: a | b, [x.startswith(p) for p in _NAMESPACES]))[0]
+    own = F.get(F.filter("keys", lambda x: x.startswith("og:")), F.lit(0))
+    vertical = F.get(F.filter("keys", lambda x: reduce(lambda a, b: a | b, [x.startswith(p) for p in _NAMESPACES])), F.lit(0))
     found = metas(parsed).select("page_id", "ord", "content", own.alias("own"), vertical.alias("vertical"))
     first = found.where("own is not null").select("page_id", F.lit(0).alias("part"), "ord", F.substring("own", 4, 1000).alias("key"), "content")
     return first.unionByName(found.where("vertical is not null").select("page_id", F.lit(1).alias("part"), "ord", F.col("vertical").alias("key"), "content"))
@@ -163,7 +163,7 @@ def opengraph_arrays(parsed: DataFrame) -> DataFrame:
     plain = rows.where("root is null").groupBy("page_id", "key").agg(F.array_sort(F.collect_list(F.struct("part", "ord", "content"))).alias("all"))
     values = F.slice(F.array_distinct(F.transform("all", lambda x: x["content"])), 1, 100)
     many = F.col("key").isin(*_ARRAYS) & (F.size(values) > 1)
-    plain = plain.select("page_id", "key", F.when(many, F.to_json(values)).otherwise(_quoted(values[0])).alias("value"))
+    plain = plain.select("page_id", "key", F.when(many, F.to_json(values)).otherwise(_quoted(F.get(values, F.lit(0)))).alias("value"))
     parts = rows.where("root is not null").withColumn("session", F.greatest("session", F.lit(1))).withColumn("sub", F.when(F.col("sub") == "", F.lit("url")).otherwise(F.col("sub")))
     parts = parts.groupBy("page_id", "root", "session", "sub").agg(F.min_by("content", F.struct("part", "ord")).alias("content"))
     objects = parts.groupBy("page_id", "root", "session").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("sub", "content")))).alias("o"))
