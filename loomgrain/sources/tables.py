@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """``name`` from the folder ``sf_dir``, which may be on any file system that Spark reads."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` on the executors' disks, for rows that cost a parse and that one plan reads more than once.
+
+    The lineage stays, so what a lost executor held is made again. Whoever keeps a frame for long calls unpersist().
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
