@@ -68,7 +68,7 @@ _MISSING_BAL = "c_custkey % 4 = 0"
     f"""with r as (select * from {_SEEN} where n >= 3), cells as (
  select page_id, row_ix, unnest(['a.name', 'a.name@href', 'i', 'span.bal']) as path, unnest([c_name, 'https://shop.example/c/' || c_custkey, c_mktsegment, case when {_MISSING_BAL} then null else {_BAL} end]) as value from r)
  select 'shop' as extractor, path, round(1 - count(value) / (select count(*) from r), 4) as missing,
- case path when 'a.name' then 'LNP' end as fixed_shape,
+ case path when 'a.name' then 'LNP' when 'i' then 'L' when 'span.bal' then 'NP' end as shape,
  case when path = 'span.bal' then 'amount' end as reads,
  (select list(v order by p, k) from (select c2.value as v, min(c2.page_id) as p, min(c2.page_id * 1000 + c2.row_ix) as k from cells c2 where c2.path = cells.path and c2.value is not null group by c2.value order by k limit 5)) as samples
  from cells group by path""",
@@ -76,7 +76,7 @@ _MISSING_BAL = "c_custkey % 4 = 0"
 def compile_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     bal = F.when(F.expr(_MISSING_BAL), "").otherwise(_balance())
     columns = contract.learn(kept(rows.induced(_listings(spark, sf_dir, bal=bal))))[1]
-    return columns.select("extractor", "path", "missing", F.when(F.col("path") == "a.name", F.col("shape")).alias("fixed_shape"), "reads", "samples")
+    return columns.select("extractor", "path", "missing", "shape", "reads", "samples")
 
 
 def _drifted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -104,7 +104,7 @@ def run_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("drift_flagged", f"select page_id, not (n >= 3 and page_id % 3 = 0 or n >= 5 and (page_id % 5 = 0 or d = 1)) and (n < 5 or m > 1) as ok from {_LATER}")
 def drift_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page is sound where all its checks pass; a segment that is the same in five rows or more is a drift too."""
-    return contract.verdicts(contract.checks(*_drifted(spark, sf_dir)).where("kind <> 'shape'")).select("page_id", "ok")
+    return contract.verdicts(contract.checks(*_drifted(spark, sf_dir))).select("page_id", "ok")
 
 
 @register(
@@ -137,17 +137,15 @@ def _answers(spark: SparkSession, sf_dir: str, price: Column, extra: str = "") -
 
 @register(
     "diff_kinds",
-    """select page_id, question, kind, count(*) over () as n_all from (
- select p_partkey as page_id, 'price' as question, 'changed' as kind from part where p_partkey % 6 = 0
+    """select p_partkey as page_id, 'price' as question, 'changed' as kind from part where p_partkey % 6 = 0
  union all select p_partkey, 'price', 'rewritten' from part where p_partkey % 6 = 1
- union all select p_partkey, 'description', 'added' from part)""",
+ union all select p_partkey, 'description', 'added' from part""",
 )
 def diff_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = rendered.money("p_retailprice")
     after = F.when(F.col("p_partkey") % 6 == 0, (F.col("p_retailprice") + 2).cast("decimal(12,2)").cast("string")).when(F.col("p_partkey") % 6 == 1, F.concat(F.lit("USD "), price)).otherwise(price)
     found = diff.compare(_answers(spark, sf_dir, price), _answers(spark, sf_dir, after, '<meta name="description" content="new">'))
-    n = found.agg(F.count("*").alias("n_all"))
-    return found.select("page_id", "question", "kind").join(n)
+    return found.select("page_id", "question", "kind")
 
 
 @register(

@@ -16,10 +16,10 @@ _SHOP = "https://shop.example"
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of parts that link to the parts that were shipped with them, three for each at most: p to (p*7+k) of all."""
+    """Pages of parts that link to the parts that were shipped with them, three for each."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"))
-    n = p.agg(F.count("*").alias("n"))
-    rows = p.join(F.broadcast(n)).select("p", F.posexplode(F.array(*(F.expr(f"(p * 7 + {k * k + 1}) % n") for k in range(3)))).alias("ord", "t"))
+    n = p.count()
+    rows = p.select("p", F.posexplode(F.array(*(F.expr(f"(p * 7 + {k * k + 1}) % {n}") for k in range(3)))).alias("ord", "t"))
     at = lambda c: F.concat(F.lit(f"{_SHOP}/p/"), F.col(c).cast("string"))
     return rows.select(at("p").alias("source"), "ord", at("t").alias("target"))
 
@@ -70,10 +70,10 @@ def batch_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.in_batch(urls)
 
 
-@register("crawl_resumed", "select 'https://shop.example/p/' || p_partkey as address from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 25)")
+@register("crawl_resumed", "select 'https://shop.example/p/' || p_partkey as address from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 49)")
 def crawl_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda c: F.concat(F.lit(f"{_SHOP}/p/"), F.col(c).cast("string")).alias("address")
-    return crawl.unfinished(table(spark, sf_dir, "part").select(at("p_partkey")), table(spark, sf_dir, "lineitem").where("l_quantity > 25").select(at("l_partkey")))
+    return crawl.unfinished(table(spark, sf_dir, "part").select(at("p_partkey")), table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(at("l_partkey")))
 
 
 def _site(key: str) -> Column:
