@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from loomgrain.operators import audit, declared, extract, readings
 from loomgrain.plans import rendered
 from loomgrain.plans.registry import register
-from loomgrain.sources.tables import table
+from loomgrain.sources.tables import spread, table
 
 _KEY = "{{key}}"
 
 
 def _products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products without an image; every third has no offer, every fourth an invalid GTIN, every fifth a price with a sign."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"))
     offer = F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.concat(F.lit(',"offers":{"@type":"Offer","price":"'), F.when(F.col("p_partkey") % 5 == 0, "$").otherwise(""), rendered.money("p_retailprice"), F.lit('","priceCurrency":"USD"}')))
     gtin = F.when(F.col("p_partkey") % 4 == 0, "4006381333930").otherwise("4006381333931")
     html = rendered.filled('<html><script type="application/ld+json">{"@context":"https://schema.org","@type":"Product","name":"{{name}}","gtin13":"{{gtin}}","datePublished":"{{day}}"{{offer}}}</script></html>', name=F.col("p_name"), gtin=gtin, offer=offer, day=F.when(F.col("p_size") % 2 == 0, "2024-02-30").otherwise("2024-02-28"))
@@ -54,7 +54,7 @@ def audit_wrong_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def audit_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON-LD against microdata; a currency that both give alike is no conflict."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"))
     body = '<div itemscope itemtype="https://schema.org/Product"><b itemprop="name">{{other}}</b><div itemprop="offers" itemscope itemtype="https://schema.org/Offer"><i itemprop="price">7</i><meta itemprop="priceCurrency" content="usd"></div></div>'
     html = rendered.filled(f"<html>{rendered.JSONLD}{body}</html>", key=F.col("p_partkey").cast("string"), name=F.col("p_name"), brand=F.col("p_brand"), price=rendered.money("p_retailprice"), other=F.when(F.col("p_partkey") % 2 == 0, "other").otherwise(F.upper("p_name")))
     pages = p.select(F.col("p_partkey").alias("page_id"), F.lit("https://x.example/").alias("url"), html.alias("html"))
@@ -85,14 +85,14 @@ def visible_guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = (F.col("p_partkey") % 9 + 1).cast("string")
     time = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit('<time datetime="2024-03-0'), day, F.lit('">some day</time>'))).otherwise("")
     html = rendered.filled('<html><body><nav><h1>Menu</h1></nav><h1>{{name}}</h1><p class="byline">By Ada Lovelace, Staff</p>{{time}}<p>text</p></body></html>', name=F.col("p_name"), time=time)
-    pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://x.example/2023/05/0"), day, F.lit("/x")).alias("url"), html.alias("html"))
+    pages = spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://x.example/2023/05/0"), day, F.lit("/x")).alias("url"), html.alias("html"))
     return readings.visible(pages).drop("place")
 
 
 @register("page_markdown", "select p_partkey as page_id, '# ' || p_name || chr(10) || chr(10) || 'By [' || p_brand || '](https://x.example/b) **now**' || chr(10) || chr(10) || '- ' || p_type || chr(10) || '- two' as markdown from part")
 def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = rendered.filled('<html><body><nav>menu</nav><article><h1>{{name}}</h1><p>By <a href="/b">{{brand}}</a> <b>now</b></p><ul><li>{{type}}<li>two</ul><script>x()</script></article><footer>f</footer></body></html>', name=F.col("p_name"), brand=F.col("p_brand"), type=F.col("p_type"))
-    pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.lit("https://x.example/a").alias("url"), html.alias("html"))
+    pages = spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("page_id"), F.lit("https://x.example/a").alias("url"), html.alias("html"))
     return readings.as_markdown(pages)
 
 

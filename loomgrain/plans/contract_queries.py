@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomgrain.operators import contract, diff, extract, rows
 from loomgrain.plans import rendered
 from loomgrain.plans.registry import register
-from loomgrain.sources.tables import kept, table
+from loomgrain.sources.tables import kept, spread, table
 
 #: Customers on a page.
 _PAGE = 20
@@ -126,7 +126,7 @@ def healed_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _answers(spark: SparkSession, sf_dir: str, price: Column, extra: str = "") -> DataFrame:
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"))
     html = rendered.filled(
         '<html><script type="application/ld+json">{"@context":"https://schema.org","@type":"Product","name":"{{name}}","sku":"P{{key}}","offers":{"price":"{{price}}","priceCurrency":"USD"}}</script>' + extra,
         name=F.col("p_name"), key=F.col("p_partkey").cast("string"), price=price,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrain.sources.tables import table
+from loomgrain.sources.tables import spread, table
 
 
 def money(column: str) -> Column:
@@ -27,7 +27,7 @@ def filled(template: str, **values: Column) -> Column:
 
 def parts(spark: SparkSession, sf_dir: str, head: str = "", body: str = "") -> DataFrame:
     """A page for each part, with ``head`` and ``body`` of which {{key}}, {{name}}, {{brand}}, {{type}}, {{size}} and {{price}} are filled."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"))
     values = {"key": F.col("p_partkey").cast("string"), "name": F.col("p_name"), "brand": F.col("p_brand"), "type": F.col("p_type"), "size": F.col("p_size").cast("string"), "price": money("p_retailprice")}
     html = filled(f'<!DOCTYPE html><html lang="en"><head><title>{{{{name}}}} | Shop</title>{head}</head><body>{body}</body></html>', **values)
     return p.select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://shop.example/p/"), F.col("p_partkey").cast("string")).alias("url"), html.alias("html"))

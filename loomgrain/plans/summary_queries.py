@@ -9,7 +9,7 @@ from loomgrain.functions import scalars
 from loomgrain.operators import extract
 from loomgrain.plans import rendered
 from loomgrain.plans.registry import register
-from loomgrain.sources.tables import table
+from loomgrain.sources.tables import spread, table
 
 _MONEY = "cast(cast(p_retailprice as decimal(12,2)) as varchar)"
 _URL = "'https://shop.example/p/' || p_partkey"
@@ -59,7 +59,7 @@ _CONFLICT = '<script type="application/ld+json">{"@context":"https://schema.org"
 
 
 def _contradicting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"))
     price = rendered.money("p_retailprice")
     other = F.when(F.col("p_partkey") % 7 == 0, (F.col("p_retailprice") + 1).cast("decimal(12,2)").cast("string")).otherwise(F.concat(price, F.lit("0")))
     month = (F.col("p_partkey") % 9 + 1).cast("string")
@@ -100,14 +100,14 @@ def amount_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("amount_unsure", "select p_partkey as id, cast(null as varchar) as amount from part")
 def amount_unsure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"))
     written = F.element_at(F.array(F.lit("1,299"), F.lit("1.299"), F.lit("12 50"), F.lit("call us"), F.lit("1,29,000")), (F.col("p_partkey") % 5 + 1).cast("int"))
     return p.select(F.col("p_partkey").alias("id"), scalars.amount(written).alias("amount"))
 
 
 @register("currency_code", "select p_partkey as id, case p_partkey % 5 when 0 then 'EUR' when 1 then 'GBP' when 2 then null when 3 then 'USD' else null end as currency from part")
 def currency_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"))
     written = F.element_at(F.array(F.lit(" € "), F.lit("gbp"), F.lit("$"), F.lit("US$"), F.lit("kr")), (F.col("p_partkey") % 5 + 1).cast("int"))
     return p.select(F.col("p_partkey").alias("id"), scalars.currency(written).alias("currency"))
 

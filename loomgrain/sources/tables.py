@@ -17,3 +17,8 @@ def kept(df: DataFrame) -> DataFrame:
     The lineage stays, so what a lost executor held is made again. Whoever keeps a frame for long calls unpersist().
     """
     return df.persist(StorageLevel.DISK_ONLY)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The narrow rows of a small table over all cores, before a page is written from each; a file of one row group would else be one task."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
