@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ COLLISION = 0.999
 #: Templates that are looked for in one pass over the documents.
 AT_ONCE = 5000
 
-#: Short notices, as (license, text). Longer texts are given as a table.
+#: Short notices, as (license, text). Full texts and standard headers are files of the folder licenses.
 NOTICES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -51,6 +52,8 @@ NOTICES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
 )
 
+FOLDER = Path(__file__).parent / "licenses"
+
 _EDGES = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.array([xxhash.xxh32_intdigest(str(k)) | 1 for k in range(HASHES)], np.uint32)
@@ -75,6 +78,11 @@ def least_similarity(n: int) -> float:
     return held / ((2 * BLOCK << level_of(n)) + n - held)
 
 
+def full_texts() -> tuple[tuple[str, str], ...]:
+    """(license, text) of every full license text, NAME.txt, and of every standard header, NAME.header.txt, without copyright lines' names."""
+    return tuple((f.name.removesuffix(".txt").removesuffix(".header"), f.read_text(encoding="utf-8")) for f in sorted(FOLDER.glob("*.txt")))
+
+
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Offsets of the bare words of each text, a code for each, and the distinct bare words."""
     if isinstance(column, pa.ChunkedArray):
@@ -145,27 +153,30 @@ def _found(templates: Templates, column: pa.Array) -> list[tuple[int, int, float
         return []
     hashes = _shingles(codes, words)
     counts = np.maximum(0, np.diff(offsets) - SHINGLE + 1)
-    top = max(templates.levels)
-    unit = BLOCK << top
     rows = np.flatnonzero(counts)
     if not len(rows):
         return []
-    blocks = -(-counts[rows] // unit) * (unit // BLOCK)  # a text fills whole blocks of the top level
-    starts = np.cumsum(blocks) - blocks
+    # blocks of each text by level; an odd last block stands alone on the level above
+    blocks = [-(-counts[rows] // BLOCK)]
+    for _ in range(max(templates.levels)):
+        blocks.append((blocks[-1] + 1) // 2)
+    starts = [np.cumsum(b) - b for b in blocks]
+    inside = [np.arange(int(b.sum())) - np.repeat(s, b) for b, s in zip(blocks, starts, strict=True)]
+    left = [None, *(np.repeat(starts[v - 1], blocks[v]) + 2 * inside[v] for v in range(1, len(blocks)))]
+    right = [None, *(np.minimum(left[v] + 1, np.repeat(starts[v - 1] + blocks[v - 1], blocks[v]) - 1) for v in range(1, len(blocks)))]
+    last = [s + b - 1 for s, b in zip(starts, blocks, strict=True)]
     # behind its end a text's last shingle repeats, which changes no minimum
-    place = np.arange(int(blocks.sum()) * BLOCK)
-    of = np.repeat(np.arange(len(rows)), blocks * BLOCK)
-    inner = np.minimum(place - starts[of] * BLOCK, counts[rows][of] - 1)
-    grid = np.ascontiguousarray(_small(hashes[offsets[:-1][rows][of] + inner]).reshape(-1, BLOCK).T)
+    of = np.repeat(np.arange(len(rows)), blocks[0])
+    inner = np.minimum(inside[0][:, None] * BLOCK + np.arange(BLOCK), counts[rows][of][:, None] - 1)
+    grid = np.ascontiguousarray(_small(hashes[offsets[:-1][rows][of][:, None] + inner]).T)
     pairs: set[tuple[int, int, int]] = set()
-    last = {level: (starts + blocks >> level) - 1 for level in templates.levels}
     product = np.empty_like(grid)
     for k in range(HASHES):
         np.multiply(grid, _SEEDS[k], out=product)
         least = product.min(axis=0)
-        for level in range(top + 1):
+        for level in range(len(blocks)):
             if level:
-                least = np.minimum(least[0::2], least[1::2])
+                least = np.minimum(least[left[level]], least[right[level]])
             if level not in templates.levels:
                 continue
             window = least.copy()
@@ -178,9 +189,8 @@ def _found(templates: Templates, column: pa.Array) -> list[tuple[int, int, float
     matches = {}
     for level, w, t in sorted(pairs):
         size = BLOCK << level
-        at = w * size
-        row = int(of[at])
-        begin = at - int(starts[row]) * BLOCK
+        row = int(np.searchsorted(starts[level], w, side="right")) - 1
+        begin = int(inside[level][w]) * size
         end = min(begin + 2 * size, int(counts[rows[row]]))
         base = int(offsets[rows[row]])
         own = hashes[base + begin : base + end].tolist()

@@ -30,7 +30,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents"))
+    return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.NOTICES + license_scan.full_texts())
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,3 +53,22 @@ def test_templates_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ls, "AT_ONCE", 4)
     rows = [(1, "Released under the MIT License. Licensed under CC BY-NC 4.0.")]
     assert {r["license"] for r in ls.scan(docs(spark, rows)).collect()} >= {"MIT", "CC-BY-NC-4.0"}
+
+
+def test_full_texts_and_headers_by_the_query(spark, tmp_path):
+    from loomgrain.llm import queries
+
+    texts = [(f.name.removesuffix(".txt").removesuffix(".header"), f.read_text()) for f in sorted(ls.FOLDER.glob("*.txt"))]
+    assert {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0"} <= {n for n, _ in texts}
+    rnd = random.Random(5)
+    rows = []
+    for k, (_, text) in enumerate(texts):
+        for j, talk in enumerate((0, 30, 700)):
+            around = lambda: " ".join(rnd.choices(WORDS, k=talk))
+            rows.append((10 * k + j, f"{around()}\n{text}\n{around()}"))
+    rows.append((-1, " ".join(rnd.choices(WORDS, k=3000))))
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for r in queries.op5_license_scan(spark, str(tmp_path)).collect():
+        got.setdefault(r["doc_id"], set()).add(r["license"])
+    assert got == {k: {texts[k // 10][0]} for k, _ in rows if k >= 0}
