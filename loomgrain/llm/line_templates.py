@@ -2,8 +2,10 @@
 
 A line's leaf in the tree of fixed depth is its number of words and its first DEPTH words. Words with digits are
 variable fields at once. In a leaf, a word stays constant at its place where enough of the leaf's lines have it there,
-and is a variable field elsewhere; what is left is the line's template, and one with too few constants is none. A template
-that MIN_DOCS documents have recurs: its lines go from all documents but the first, that with the least doc_id.
+and is a variable field elsewhere; what is left is the line's template, and one with too few constants among its words without
+digits is none. How many lines are enough is asked at each of SUPPORTS, whatever else the leaf holds, and at the share COMMON of it.
+A template that MIN_DOCS documents have recurs: its lines go from all documents but the first, that with the least doc_id. What a
+higher support makes of lines holds all that a lower one does, so the first of the widest template stays.
 
 Lines of fewer than MIN_WORDS words, which recur by chance, stay. A document is a row: rows that repeat a doc_id and its text
 are one document. A null text has no lines and stays null; an empty text stays; a null doc_id comes last. Other columns
@@ -20,9 +22,10 @@ from loomgrain.llm.shared import fresh, written
 DEPTH = 3
 MIN_WORDS = 5
 MIN_DOCS = 3
-#: Lines of a leaf that must have a word at a place for it to be constant there: MIN_DOCS, or this share.
+#: Lines of a leaf that must have a word at a place for it to be constant there: each of these, and this share or MIN_DOCS.
+SUPPORTS = tuple(MIN_DOCS * 4**k for k in range(8))
 COMMON = 0.05
-#: Share of a template's words that must be constants.
+#: Share of a template's words without digits that must be constants.
 CONSTANT = 0.8
 #: Bits of the filter that lets only lines of shared leaves be cut into words; 2 MB whatever the input's size.
 FILTER_BITS = 24
@@ -86,18 +89,22 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     maybe = again.join(F.broadcast(bits), "word").where(F.expr("shiftright(bits, bit) & 1L = 1L"))
     cut = maybe.join(leaves, "leaf").join(same.select("template"), "template", "left_anti")
     words = written(cut.select("doc_id", "k", "pos", "leaf", "n_lines", F.posexplode(F.split("masked", " ")).alias("at", "word")).select("doc_id", "k", "pos", "leaf", "n_lines", "at", F.xxhash64("word").alias("word"), (F.col("word") != FIELD).alias("fixed")), "line-words")
-    common = (
-        words.where("fixed").groupBy("leaf", "at", "word").agg(F.count("*").alias("n"), F.first("n_lines").alias("n_lines"))
-        .where((F.col("n") >= MIN_DOCS) & (F.col("n") >= COMMON * F.col("n_lines"))).select("leaf", "at", "word", F.lit(True).alias("common"))
-    )
-    constant = F.coalesce(F.col("common"), F.lit(False))
-    general = (
-        words.join(common, ["leaf", "at", "word"], "left")
+    counts = words.where("fixed").groupBy("leaf", "at", "word").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS)
+    enough = [*(F.lit(x) for x in SUPPORTS), F.greatest(F.lit(MIN_DOCS), COMMON * F.col("n_lines"))]
+    constant = [F.coalesce(F.col("n"), F.lit(0)) >= x for x in enough]
+    as_word, as_field = F.xxhash64("at", "word"), F.xxhash64("at")
+    judged = (
+        words.join(counts, ["leaf", "at", "word"], "left")
         .groupBy("doc_id", "k", "pos")
-        .agg(F.first("leaf").alias("leaf"), F.avg(constant.cast("double")).alias("share"), F.bit_xor(F.when(constant, F.xxhash64("at", "word")).otherwise(F.xxhash64("at"))).alias("form"))
-        .where(F.col("share") >= CONSTANT)
-        .select("doc_id", "k", "pos", F.xxhash64("leaf", "form").alias("template"))
-    )
+        .agg(
+            F.first("leaf").alias("leaf"),
+            F.count(F.when(F.col("fixed"), 1)).alias("n_fixed"),
+            *(F.count(F.when(c, 1)).alias(f"n_{i}") for i, c in enumerate(constant)),
+            *(F.bit_xor(F.when(c, as_word).otherwise(as_field)).alias(f"form_{i}") for i, c in enumerate(constant)),
+        )
+    )
+    forms = F.array(*(F.when((F.col("n_fixed") > 0) & (F.col(f"n_{i}") >= CONSTANT * F.col("n_fixed")), F.col(f"form_{i}")) for i in range(len(constant))))
+    general = judged.select("doc_id", "k", "pos", "leaf", F.explode(F.array_distinct(F.array_compact(forms))).alias("form")).select("doc_id", "k", "pos", F.xxhash64("leaf", "form").alias("template"))
     general = written(general, "general-templates")
     by_leaf = general.join(_recurring(general, "template"), "template").where("k <> first").select("doc_id", "k", "pos")
     return by_mask.unionByName(by_leaf).distinct()

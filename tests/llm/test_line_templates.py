@@ -93,3 +93,18 @@ def test_main_path_is_native(spark, tiny):
     plan = lt.dedup(table(spark, tiny, "documents"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert lt.dedup(table(spark, tiny, "documents")).where(F.col("n_dropped") > 0).count() > 0
+
+
+def test_other_lines_of_the_leaf_do_not_decide(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda n: "".join(letters[n // 26**k % 26] for k in range(4))
+    names = [word(n) for n in range(3000, 3020)]
+    small = [(n, f"User has now {x} signed in at the front desk today") for n, x in enumerate(names)]
+    prose = [(100 + n, "User has now " + " ".join(word(1000 + 7 * n + k) for k in range(7))) for n in range(1000)]
+    found = got(docs(spark, small + [(d, t) for d, t in prose]))
+    assert sorted(x[0] for x in found if x[3]) == list(range(1, 20))
+
+
+def test_digit_fields_do_not_count_against_a_template(spark):
+    rows = [(n, f"job 1{n} took 2{n} ms on host {x} with 3{n} and 4{n} errors") for n, x in enumerate("ada bea cid dov eva".split())]
+    assert [x[3] for x in got(docs(spark, rows))] == [0, 1, 1, 1, 1]
