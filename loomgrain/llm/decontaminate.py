@@ -6,6 +6,9 @@ that has at least CONTAINMENT of an item's windows is a candidate; then its slot
 must always stand for one value of the document. Consistent slots make a leak, ``exact`` where all values are the item's
 and ``reparameterised`` elsewhere; inconsistent ones make none.
 
+Beside them stand literal windows: five words each without case, numbers and names as they are; of an item of fewer words all of
+them. A document that has at least CONTAINMENT of an item's literal windows is an ``exact`` leak, whatever its templates say.
+
 Items are held by blocks of at most BLOCK_WINDOWS windows; each block is sent to the executors and meets every
 document, so a benchmark of any size is read whole with bounded memory.
 """
@@ -101,23 +104,75 @@ def _windows(template: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.nda
     return hashed * np.uint64(0xD6E8FEB86659FD93), literal >= LITERALS
 
 
+def _literal(plain: np.ndarray, width: int = WINDOW) -> np.ndarray:
+    """The hash of the ``width`` words without case that begin at each place where so many follow."""
+    n = max(0, len(plain) - width + 1)
+    hashed = np.full(n, width, np.uint64)
+    for k in range(width):
+        hashed = hashed * _FACTORS[1] + plain[k : k + n]
+    hashed ^= hashed >> np.uint64(32)
+    return hashed * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _plain(words: list[str]) -> np.ndarray:
+    """The hash of each word without case and the signs around it."""
+    return np.fromiter((xxhash.xxh64_intdigest(_bare(w).casefold(), 2) for w in words), np.uint64, len(words))
+
+
 @dataclass(frozen=True)
-class Block:
-    """Items and their windows: sorted hashes, and of each the item and the window's place."""
+class Index:
+    """Windows of items: sorted hashes, and of each the item and the window's place; needed holds the number of each item's windows."""
 
-    item_ids: list[int | None]
-    words: list[list[str]]
-    slots: list[np.ndarray]
     needed: np.ndarray
     hashes: np.ndarray
     items: np.ndarray
     places: np.ndarray
     present: np.ndarray
 
+    @classmethod
+    def of(cls, needed: list[int], hashes: list[np.ndarray], items: list[np.ndarray], places: list[np.ndarray]) -> Index:
+        joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hashes, items, places)]
+        order = np.argsort(joined[0], kind="stable")
+        present = np.zeros(1 << _PLACES, bool)
+        present[(joined[0].astype(np.uint64) >> np.uint64(64 - _PLACES)).astype(np.int64)] = True
+        return cls(np.array(needed), joined[0][order].astype(np.uint64), joined[1][order], joined[2][order], present)
+
+    def pairs(self, hashed: np.ndarray, good: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(row, item, places in the item, places in the column) of each pair with enough of the item's windows."""
+        if not len(hashed) or not len(self.hashes):
+            return
+        at = np.flatnonzero(good & self.present[(hashed >> np.uint64(64 - _PLACES)).astype(np.int64)])
+        low = np.searchsorted(self.hashes, hashed[at], side="left")
+        times = np.searchsorted(self.hashes, hashed[at], side="right") - low
+        each = np.repeat(np.arange(len(at)), times)
+        entry = low[each] + np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
+        place, item, inner = at[each], self.items[entry], self.places[entry]
+        pair = doc[place] * len(self.needed) + item
+        order = np.lexsort((place, inner, pair))
+        pair, place, inner = pair[order], place[order], inner[order]
+        cuts = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else np.zeros(0, int)
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(pair)]):
+            row, k = divmod(int(pair[a]), len(self.needed))
+            if len(np.unique(inner[a:b])) >= CONTAINMENT * int(self.needed[k]):
+                yield row, k, inner[a:b], place[a:b]
+
+
+@dataclass(frozen=True)
+class Block:
+    """Items with the windows of their templates, and their literal windows by width."""
+
+    item_ids: list[int | None]
+    words: list[list[str]]
+    slots: list[np.ndarray]
+    windows: Index
+    literal: dict[int, Index]
+
 
 def _block(rows: list[tuple[int | None, str | None]]) -> Block:
     offsets, template, slot, codes, words = _templates(pa.array([x for _, x in rows], pa.string()))
     hashes, items, places, needed, names, slots = [], [], [], [], [], []
+    plain = _plain(words)[codes] if len(codes) else np.zeros(0, np.uint64)
+    widths: dict[int, tuple[list[int], list[np.ndarray], list[np.ndarray], list[np.ndarray]]] = {}
     for k in range(len(rows)):
         a, b = int(offsets[k]), int(offsets[k + 1])
         own, good = _windows(template[a:b], slot[a:b])
@@ -125,6 +180,13 @@ def _block(rows: list[tuple[int | None, str | None]]) -> Block:
         needed.append(len(at))
         names.append([words[c] for c in codes[a:b].tolist()])
         slots.append(slot[a:b])
+        if b > a:
+            width = min(WINDOW, b - a)
+            own_needed, own_hashes, own_items, own_places = widths.setdefault(width, ([0] * len(rows), [], [], []))
+            own_hashes.append(_literal(plain[a:b], width))
+            own_needed[k] = len(own_hashes[-1])
+            own_items.append(np.full(own_needed[k], k))
+            own_places.append(np.arange(own_needed[k]))
         hashes.append(own[at])
         items.append(np.full(len(at), k))
         places.append(at)
@@ -137,11 +199,7 @@ def _block(rows: list[tuple[int | None, str | None]]) -> Block:
                 hashes.append(own)
                 items.append(np.array([k]))
                 places.append(np.array([0]))
-    joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hashes, items, places)]
-    order = np.argsort(joined[0], kind="stable")
-    present = np.zeros(1 << _PLACES, bool)
-    present[(joined[0] >> np.uint64(64 - _PLACES)).astype(np.int64)] = True
-    return Block([i for i, _ in rows], names, slots, np.array(needed), joined[0][order].astype(np.uint64), joined[1][order], joined[2][order], present)
+    return Block([i for i, _ in rows], names, slots, Index.of(needed, hashes, items, places), {width: Index.of(*x) for width, x in widths.items()})
 
 
 def blocks(benchmark: DataFrame, most: int = BLOCK_WINDOWS) -> Iterator[Block]:
@@ -160,31 +218,22 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_WINDOWS) -> Iterator[Block]:
 def _found(block: Block, column: pa.Array) -> list[tuple[int, int, float, str, int]]:
     """(row, item, containment, kind, changed slots) of each leak in a column of texts."""
     offsets, template, slot, codes, words = _templates(column)
-    hashed, good = _windows(template, slot)
-    if not len(hashed) or not len(block.hashes):
-        return []
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    good &= doc[: len(hashed)] == doc[WINDOW - 1 :]
-    at = np.flatnonzero(good & block.present[(hashed >> np.uint64(64 - _PLACES)).astype(np.int64)])
-    low = np.searchsorted(block.hashes, hashed[at], side="left")
-    times = np.searchsorted(block.hashes, hashed[at], side="right") - low
-    each = np.repeat(np.arange(len(at)), times)
-    entry = low[each] + np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
-    place, item, inner = at[each], block.items[entry], block.places[entry]
-    pair = doc[place] * len(block.item_ids) + item
-    order = np.lexsort((place, inner, pair))
-    pair, place, inner = pair[order], place[order], inner[order]
-    cuts = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else np.zeros(0, int)
-    found = []
-    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(pair)]):
-        row, k = divmod(int(pair[a]), len(block.item_ids))
-        have = len(np.unique(inner[a:b])) / int(block.needed[k])
-        if have < CONTAINMENT:
-            continue
-        ok, changed = _consistent(block, k, inner[a:b], place[a:b], lambda p: words[codes[p]])
+    found = {}
+    hashed, good = _windows(template, slot)
+    good &= doc[: len(hashed)] == doc[len(doc) - len(hashed) :]
+    for row, k, inner, place in block.windows.pairs(hashed, good, doc):
+        ok, changed = _consistent(block, k, inner, place, lambda p: words[codes[p]])
         if ok:
-            found.append((row, k, have, "reparameterised" if changed else "exact", changed))
-    return found
+            have = len(np.unique(inner)) / int(block.windows.needed[k])
+            found[row, k] = (row, k, have, "reparameterised" if changed else "exact", changed)
+    plain = _plain(words)[codes] if len(codes) else np.zeros(0, np.uint64)
+    for width, index in block.literal.items():
+        hashed = _literal(plain, width)
+        good = doc[: len(hashed)] == doc[len(doc) - len(hashed) :]
+        for row, k, inner, _ in index.pairs(hashed, good, doc):
+            found.setdefault((row, k), (row, k, len(np.unique(inner)) / int(index.needed[k]), "exact", 0))
+    return [found[x] for x in sorted(found)]
 
 
 def _consistent(block: Block, k: int, inner: np.ndarray, place: np.ndarray, word: Callable[[int], str]) -> tuple[bool, int]:
@@ -212,7 +261,7 @@ def _consistent(block: Block, k: int, inner: np.ndarray, place: np.ndarray, word
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, containment, kind and changed (slot values that differ) of every leak.
 
-    Null and empty texts, and items shorter than five words, have no windows and match nothing. Repeated rows each give
+    Null and empty texts and items match nothing; an item shorter than five words matches where it stands whole. Repeated rows each give
     their own leaks. An empty benchmark finds none.
     """
     spark, schema = docs.sparkSession, "doc_id long, item_id long, containment double, kind string, changed long"

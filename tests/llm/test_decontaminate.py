@@ -72,3 +72,14 @@ def test_planted_passages_of_a_table(spark, tiny):
     documents, items = table(spark, tiny, "documents"), table(spark, tiny, "benchmark")
     want = {(d["doc_id"], b["item_id"]) for d in documents.collect() for b in items.collect() if b["text"] in d["text"]}
     assert want == {(r["doc_id"], r["item_id"]) for r in dc.leaks(documents, items).collect()}
+
+
+def test_literal_copies_without_template_windows(spark):
+    items = [(1, "What is 12 + 7 * 3 - 4 * 9 + 15 / 5 ?"), (2, "Solve 3x + 5 = 20"), (3, ITEMS[1][1]), (4, "Die Katze von Anna Maria Schmidt sitzt auf der Straße vor dem Haus"), (5, ""), (6, "12 13 14 15 16")]
+    rows = [(10 + k, f"some talk first {t} and talk behind") for k, t in items if t]
+    rows += [(23, ITEMS[1][1].upper()), (24, items[3][1].lower()), (34, items[3][1].upper()), (40, "What is 12 + 8 * 2 ?"), (41, "Solve 3x + 6 = 20"), (42, "")]
+    want = [(11, 1), (12, 2), (13, 3), (14, 4), (16, 6), (23, 3), (24, 4), (34, 4)]
+    assert [x[:2] for x in found(spark, rows, items)] == want
+    assert sorted(r["doc_id"] for r in dc.clean(docs(spark, rows), bench(spark, items)).collect()) == [40, 41, 42]
+    # an item does not begin in one document and end in the next
+    assert found(spark, [(1, "Solve 3x +"), (2, "5 = 20")], items) == []
