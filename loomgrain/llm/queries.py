@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_blocks.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return token_blocks.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op2_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,26 +20,31 @@ With the block starts any id is reached by decoding one block.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgrain.llm.shared import scratch_path, slices, texts
+from loomgrain.llm.bpe import byte_signs
+from loomgrain.llm.shared import scratch_path, slices
 
 MAGIC = b"LGT1"
 BLOCK = 1024
 PERCENTILE = 90
 SEGMENT = 262_144
-#: Letters on which the two tokenizer libraries are tested to cut words alike; other texts take the slower one.
-PLAIN = re.compile(r"[\t-\r\x20-\x7e\xa0-ɏ‐-‧‰-›€]*")
+#: Distinct words that a worker remembers; beyond them it begins anew.
+REMEMBERED = 1_000_000
+#: The last sign for which the library's cut into words was compared with the one here.
+LAST_CUT = 0x1FFFF
+LETTER, NUMBER, SPACE, OTHER = range(4)
 
 
 def _pack(values: np.ndarray, width: int) -> bytes:
@@ -144,53 +149,129 @@ def decode_segment(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return lengths, ids
 
 
-class Encoder:
-    """Ids as ``tokenizers`` gives them for a file of byte-level BPE.
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """LETTER, NUMBER, SPACE or OTHER of every sign up to the last that is cut here."""
+    signs = "".join(map(chr, [*range(0xD800), *[0] * 0x800, *range(0xE000, LAST_CUT + 1)]))
+    found = np.full(len(signs), OTHER, np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        for m in regex.finditer(pattern, signs):
+            found[m.start() : m.end()] = kind
+    return found
 
-    With ``ranks``, the same vocabulary as a rank file, plain texts go through ``tiktoken``, which cuts them alike and is
-    three times as fast; a text with other letters goes through ``tokenizers`` itself.
-    """
 
-    def __init__(self, path: str, ranks: str | None) -> None:
-        from tokenizers import Tokenizer
+def cut(signs: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where words begin by the byte-level pre-tokenizer's pattern, in code points of texts that lie one behind the other.
+
+    first: whether a text begins at each place. Runs of letters, numbers or other signs are words, with one space before them;
+    of a run of white space the last sign stands alone or goes with the word behind it; and an apostrophe that begins a word
+    takes a contraction's letters from the run behind it.
+    """
+    n = len(signs)
+    kind = _classes()[signs if signs.dtype == np.uint8 else np.minimum(signs, LAST_CUT)]
+    run = first.copy()
+    run[1:] |= kind[1:] != kind[:-1]
+    space = kind == SPACE
+    begins = run.copy()
+    inside = ~first[1:]
+    begins[1:] &= ~(~space[1:] & (signs[:-1] == 0x20) & inside)
+    begins[:-1] |= space[:-1] & ~space[1:] & inside
+    quote = np.flatnonzero(begins & (signs == 0x27))
+    quote = quote[quote + 1 < n]
+    quote = quote[run[quote + 1] & ~first[quote + 1] & (kind[quote + 1] == LETTER)]
+    if len(quote):
+        end = np.append(np.flatnonzero(run), n)
+        end = end[np.searchsorted(end, quote + 1, side="right")]  # of the letters' run
+        one, two = signs[quote + 1], np.where(quote + 2 < end, signs[np.minimum(quote + 2, n - 1)], 0)
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long = ((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+        taken = np.where(short, 1, np.where(long, 2, 0))
+        has = taken > 0
+        begins[quote[has] + 1] = False
+        rest = quote[has] + 1 + taken[has]
+        begins[rest[rest < end[has]]] = True
+    return begins
 
-        self.slow = Tokenizer.from_file(path)
-        self.slow.no_truncation()
-        self.slow.no_padding()
-        self.fast = None
-        if ranks:
-            import base64
 
-            import tiktoken
+class Encoder:
+    """Ids as ``tokenizers`` gives them for a file of byte-level BPE.
 
-            from loomgrain.llm.bpe import WORDS
+    The library's model encodes each distinct word once a worker; cut() finds the words, as the library's pre-tokenizer does. A text with a special string or with a sign beyond
+    LAST_CUT, for which the two cuts weren't compared, is encoded by the library as it is.
+    """
 
-            with open(ranks, "rb") as f:
-                order = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.special = {x.content: i for i, x in self.slow.get_added_tokens_decoder().items()}
-            self.fast = tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=order, special_tokens=self.special)
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
 
-    def encode(self, some: list[str]) -> list[np.ndarray]:
-        found: list[np.ndarray | None] = [None] * len(some)
-        if self.fast is not None:
-            for k, x in enumerate(some):
-                if PLAIN.fullmatch(x):
-                    found[k] = self.fast.encode_to_numpy(x, allowed_special="all")
-        rest = [k for k, x in enumerate(found) if x is None]
-        for k, x in zip(rest, self.slow.encode_batch_fast([some[k] for k in rest], add_special_tokens=False), strict=True):
-            found[k] = np.array(x.ids, np.uint32)
-        return found  # type: ignore[return-value]
+        self.theirs = Tokenizer.from_file(path)
+        self.theirs.no_truncation()
+        self.theirs.no_padding()
+        self.special = [x.content for x in self.theirs.get_added_tokens_decoder().values()]
+        self.signs = {b: c for c, b in byte_signs().items()}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.sizes = np.zeros(0, np.int64)
+        self.begins = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def _learn(self, words: list[bytes]) -> None:
+        self.known |= {w: k for k, w in enumerate(words, len(self.known))}
+        got = [[t.id for t in self.theirs.model.tokenize(w.decode("latin-1").translate(self.signs))] for w in words]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.begins = np.concatenate([self.begins, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))])
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a column (null: empty), and how many each has."""
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        column = column.fill_null("").cast(pa.large_binary())
+        edges = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        raw = memoryview(column.buffers()[2] or b"")[int(edges[0]) : int(edges[-1])]
+        edges = edges - edges[0]
+        text = str(raw, "utf-8")
+        if not text:
+            return np.zeros(0, np.uint32), np.zeros(len(column), np.int64)
+        if len(text) == len(raw):
+            signs, at = np.frombuffer(raw, np.uint8), None
+        else:
+            signs = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            at = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+        ends = edges if at is None else np.searchsorted(at, edges)
+        first = np.zeros(len(signs) + 1, bool)
+        first[ends] = True
+        begins = np.flatnonzero(cut(signs, first[:-1]))
+        whole = {k for k in range(len(column)) if any(s.encode() in raw[edges[k] : edges[k + 1]].tobytes() for s in self.special)} if any(s in text for s in self.special) else set()
+        whole |= set((np.searchsorted(ends, np.flatnonzero(signs > LAST_CUT), side="right") - 1).tolist())
+        offsets = np.append(begins if at is None else at[begins], len(raw)).astype(np.int64)
+        coded = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self._learn([w for w in distinct if w not in self.known])
+        codes = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        sizes = self.sizes[codes]
+        after = np.cumsum(sizes)
+        flat = self.ids[np.repeat(self.begins[codes] - (after - sizes), sizes) + np.arange(int(after[-1]))]
+        cuts = np.append(0, after)[np.searchsorted(begins, ends)]
+        if whole:
+            parts = [flat[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+            for k in whole:
+                parts[k] = np.array(self.theirs.encode(str(raw[edges[k] : edges[k + 1]], "utf-8"), add_special_tokens=False).ids, np.uint32)
+            return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        return flat, np.diff(cuts)
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, ranks: str | None) -> Encoder:
+def encoder(path: str) -> Encoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Encoder(path, ranks)
+    return Encoder(path)
 
 
-def write(docs: DataFrame, into: str, path: str, ranks: str | None = None, end_id: int = 0) -> None:
+def write(docs: DataFrame, into: str, path: str, end_id: int = 0) -> None:
     """Writes the ids of every whole text (null: empty) with ``end_id`` behind each, in ascending doc_id order.
 
     A shard is a range of doc_ids, ties in order of their texts' hashes, null ids first. Columns of a file: shard,
@@ -201,7 +282,7 @@ def write(docs: DataFrame, into: str, path: str, ranks: str | None = None, end_i
     ordered = docs.select("doc_id", "text", tie.alias("tie")).repartitionByRange(count, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, shard = encoder(path, ranks), TaskContext.get().partitionId()
+        own, shard = encoder(path), TaskContext.get().partitionId()
         segment, first = 0, 0
         lengths: list[int] = []
         names: list[int | None] = []
@@ -219,13 +300,23 @@ def write(docs: DataFrame, into: str, path: str, ranks: str | None = None, end_i
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["shard", "segment", "first", "n_docs", "n_ids", "doc_ids", "data"])
 
         for batch in slices(batches, "text"):
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), own.encode(texts(batch.column("text"))), strict=True):
+            flat, counts = own.encode(batch.column("text"))
+            ends = np.cumsum(counts + 1)
+            ids = np.full(int(ends[-1]), end_id, np.uint32)
+            held = np.ones(len(ids), bool)
+            held[ends - 1] = False
+            ids[held] = flat
+            begin = 0
+            for doc, n, end in zip(batch.column("doc_id").to_pylist(), (counts + 1).tolist(), ends.tolist(), strict=True):
                 names.append(doc)
-                lengths.append(len(ids) + 1)
-                parts += [ids, np.array([end_id], np.uint32)]
-                waiting += len(ids) + 1
+                lengths.append(n)
+                waiting += n
                 if waiting >= SEGMENT:
+                    parts.append(ids[begin:end])
+                    begin = end
                     yield closed()
+            if begin < len(ids):
+                parts.append(ids[begin:])
         if waiting:
             yield closed()
 
@@ -272,8 +363,8 @@ def _documents(spark: SparkSession, path: str, column: str, make) -> DataFrame:
     return found.join(shard_starts(files), "shard").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", column.split()[0])
 
 
-def round_trip(docs: DataFrame, path: str, ranks: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """Writes the ids of ``docs`` to the shared folder and gives the digest of what the files hold."""
     into = scratch_path(docs.sparkSession, "token-blocks")
-    write(docs, into, path, ranks)
+    write(docs, into, path)
     return digest(docs.sparkSession, into)

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -10,7 +11,7 @@ from loomgrain.llm import token_blocks as tb
 from loomgrain.llm.shared import scratch_path
 from tests.llm.helpers import ODD, docs, empty
 
-PATH, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+PATH = public_tokenizers.path("byte_bpe_50k.json")
 THEIRS = Tokenizer.from_file(PATH)
 
 
@@ -31,23 +32,45 @@ def test_outliers_are_exceptions():
     assert np.array_equal(tb.decode_block(tb.encode_block(ids), 1024), ids)
 
 
-@settings(max_examples=400, deadline=None)
-@given(st.text(st.characters(max_codepoint=0x25F), max_size=80))
-def test_plain_texts_are_cut_alike(text):
-    own = tb.encoder(PATH, RANKS)
-    assert own.encode([text])[0].tolist() == THEIRS.encode(text, add_special_tokens=False).ids
+def ids_of(column):
+    flat, counts = tb.encoder(PATH).encode(pa.array(column, pa.string()))
+    ends = np.cumsum(counts)
+    return [flat[b - n : b].tolist() for b, n in zip(ends.tolist(), counts.tolist(), strict=True)]
 
 
-def test_every_plain_letter():
-    own = tb.encoder(PATH, RANKS)
-    for c in map(chr, range(0x25F)):
-        for text in (c, f"a{c}", f" {c}b", f"{c}{c} ", f"1{c}1", f"'{c}"):
-            assert own.encode([text])[0].tolist() == THEIRS.encode(text, add_special_tokens=False).ids, text
+def theirs(text):
+    return THEIRS.encode(text or "", add_special_tokens=False).ids
+
+
+PIECES = ["'s", "'t", "'re", "'ll", "'", "''", " ", "  ", "\n", "\t", "\u0085", "\x1c", "a", "Re", "l", "x1", "9", "²", "!", "é", "日", "😀", "\U00020000", "<|endoftext|>", "ǅ"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=40), st.lists(st.sampled_from(PIECES), max_size=14).map("".join)), max_size=6))
+def test_ids_are_the_librarys(column):
+    assert ids_of(column) == [theirs(x) for x in column]
+
+
+def test_every_sign_is_cut_alike():
+    signs = [chr(c) for c in range(1, tb.LAST_CUT + 2) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c} {c}1" for c in signs[k : k + 64]) for k in range(0, len(signs), 64)]
+    assert ids_of(texts) == [theirs(x) for x in texts]
+
+
+def test_very_long_white_space():
+    assert ids_of([" " * 1_000_000, "\n" * 1_000_000, " " * 2_000_000 + "x"]) == [theirs(x) for x in (" " * 1_000_000, "\n" * 1_000_000, " " * 2_000_000 + "x")]
+
+
+def test_a_full_memory_begins_anew(monkeypatch):
+    monkeypatch.setattr(tb, "REMEMBERED", 2)
+    own = tb.Encoder(PATH)
+    for text in ("one two three", "two four", "one two"):
+        assert own.encode(pa.array([text]))[0].tolist() == theirs(text)
 
 
 def test_query_on_odd_rows(spark, monkeypatch):
     rows = [r for r in ODD]
-    got = sorted(tb.round_trip(docs(spark, rows, ["shard", "first", "tie"]), PATH, RANKS).collect(), key=lambda r: (r["start"], r["n_tokens"]))
+    got = sorted(tb.round_trip(docs(spark, rows, ["shard", "first", "tie"]), PATH).collect(), key=lambda r: (r["start"], r["n_tokens"]))
     want = {}
     for r in rows:
         ids = THEIRS.encode(r[1] or "", add_special_tokens=False).ids + [0]
@@ -59,7 +82,7 @@ def test_query_on_odd_rows(spark, monkeypatch):
         assert (r["n_tokens"], r["ids_crc32"]) in want[r["doc_id"]]
     names = [r["doc_id"] for r in got]
     assert names == sorted(names, key=lambda x: (x is not None, x or 0)) and len(names) == len(rows)
-    assert tb.round_trip(empty(spark), PATH, RANKS).count() == 0
+    assert tb.round_trip(empty(spark), PATH).count() == 0
 
 
 def test_ids_are_read_back(spark):
