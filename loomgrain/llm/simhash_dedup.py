@@ -54,15 +54,16 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, of every whole text (null: no words)."""
+def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, beside: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns ``beside`` it (long), and fp, the fingerprint as a signed long, of every whole text (null: no words)."""
+    names = ["doc_id", *beside, "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found = np.array([fingerprint(x, words, seed) for x in texts(batch.column("text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names[:-1]), pa.array(found.view(np.int64))], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text", *beside).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -257,14 +258,23 @@ def groups(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fp and component_id of every document.
 
     component_id is the smallest doc_id that links of DISTANCE bits or fewer reach, its own included. Texts
-    without words have the fingerprint zero and link like others. Rows that repeat a doc_id stay, each with its
-    own fingerprint. A null doc_id names no component and leads nowhere; its row gets the component of its fingerprint.
+    without words have the fingerprint zero and link like others. Links are between fingerprints: rows that repeat a doc_id stay, each with
+    its own fingerprint and component. A null doc_id links like others but names no component; one of null ids alone is null.
     """
     marked = written(fingerprints(docs, words, seed), "fingerprints")
-    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct-fingerprints")
-    linked = connected_components(similar(nodes.where("id is not null")))
-    component = nodes.join(linked.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return marked.join(component, "fp").select("doc_id", "fp", "component_id")
+    return _grouped(marked)
+
+
+def _grouped(marked: DataFrame) -> DataFrame:
+    """The rows of a table with doc_id and fp, with component_id beside them."""
+    # a fingerprint is its own vertex, so that rows of one doc_id don't tie unlike texts together
+    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    linked = written(connected_components(similar(nodes.select(F.col("fp").alias("id"), "fp"))), "fingerprint-components").withColumnRenamed("node", "fp")
+    whole = nodes.join(linked, "fp")
+    least = whole.groupBy("component").agg(F.min("least").alias("component_id"))
+    many = whole.select("fp", "component").join(least, "component").select("fp", "component_id")
+    named = nodes.join(many, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    return marked.join(named, "fp").select(*marked.columns, "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -272,14 +282,15 @@ def digest(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group: that whose doc_id names the component, of repeated rows the one with the least text.
+def keep_first(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
+    """One row of each group: that whose doc_id names the component, of several the one with the least text's hash.
 
     Rows without a doc_id stay.
     """
-    kept = groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    whole = docs.join(kept, "doc_id", "left_semi")
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    nth = fresh(docs, "nth")
-    first = whole.withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1).drop(nth)
-    return first.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    key, nth = fresh(docs, "text_key"), fresh(docs, "nth")
+    named = docs.where("doc_id is not null").withColumn(key, F.xxhash64("text"))
+    marked = written(fingerprints(named, words, seed, (key,)), "fingerprints")
+    kept = _grouped(marked).where("doc_id = component_id").groupBy("component_id").agg(F.min(key).alias(key)).withColumnRenamed("component_id", "doc_id")
+    once = Window.partitionBy("doc_id").orderBy("text")
+    first = named.join(kept, ["doc_id", key], "left_semi").withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1)
+    return first.select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -123,3 +123,14 @@ def test_one_document_of_each_group_stays(spark):
     assert kept.columns == df.columns
     assert sorted((r["doc_id"] for r in kept.where(F.col("doc_id").isNotNull()).collect())) == [0, 3, 4, 5, 7, 8, 10]
     assert kept.where("doc_id is null").count() == 2
+
+
+def test_a_repeated_id_ties_no_unlike_texts(spark):
+    """(5, 0) and (3, 1) are near, (5, ~0) is far from both: its component is its own."""
+    marked = spark.createDataFrame([(5, 0), (5, -1), (3, 1)], "doc_id long, fp long")
+    assert sorted(map(tuple, sd._grouped(marked).collect())) == [(3, 1, 3), (5, -1, 5), (5, 0, 3)]
+    pairs = spark.createDataFrame([(5, 0), (3, 0), (5, -1), (9, -1), (None, 255)], "doc_id long, fp long")
+    assert sorted(map(tuple, sd._grouped(pairs).collect()), key=str) == sorted([(3, 0, 3), (5, 0, 3), (5, -1, 5), (9, -1, 5), (None, 255, None)], key=str)
+    texts = ["one two three four five six", "entirely other words stand here today, none shared"]
+    kept = sd.keep_first(docs(spark, [(5, texts[0]), (3, texts[0]), (5, texts[1]), (9, texts[1])])).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(3, texts[0]), (5, texts[1])]
