@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomgrain.llm.shared import slices
+from loomgrain.llm.shared import slices, written
 
 MCU = 192
 #: MCUs in a row at most; a side has 65,535 pixels at most.
@@ -155,6 +155,13 @@ class Image:
         return -(-self.width // (8 * across)), -(-self.height // (8 * down))
 
 
+def _whole(body: bytes, at: int, size: int) -> bytes:
+    """So many bytes of a segment; a table that its segment doesn't hold is no table."""
+    if at + size > len(body):
+        raise NotBaseline("a table is longer than its segment")
+    return body[at : at + size]
+
+
 def parse(data: bytes) -> Image:
     """Reads the markers up to the scan. A baseline image of one scan is read; others raise NotBaseline."""
     if data[:2] != b"\xff\xd8":
@@ -179,7 +186,7 @@ def parse(data: bytes) -> Image:
                 k = 0
                 while k < len(body):
                     size = 64 * (1 + (body[k] >> 4))
-                    image.quantisers[body[k] & 15] = body[k + 1 : k + 1 + size]
+                    image.quantisers[body[k] & 15] = _whole(body, k + 1, size)
                     k += 1 + size
             elif marker == 0xC0:
                 depth, image.height, image.width, count = struct.unpack_from(">BHHB", body)
@@ -193,8 +200,8 @@ def parse(data: bytes) -> Image:
             elif marker == 0xC4:
                 k = 0
                 while k < len(body):
-                    size = 16 + sum(body[k + 1 : k + 17])
-                    image.huffman[body[k]] = body[k + 1 : k + 1 + size]
+                    size = 16 + sum(_whole(body, k + 1, 16))
+                    image.huffman[body[k]] = _whole(body, k + 1, size)
                     k += 1 + size
             elif marker == 0xDD:
                 image.restart = struct.unpack(">H", body[:2])[0]
@@ -236,8 +243,8 @@ def _intervals(scan: bytes) -> tuple[np.ndarray, np.ndarray]:
     return raw[:stop][keep], np.concatenate(([0], before[marks]))
 
 
-def _decode_lanes(data: np.ndarray, starts: np.ndarray, blocks: np.ndarray, pattern: np.ndarray, tables: np.ndarray, n_components: int) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients in zigzag order of all blocks of all lanes, and the lanes that are broken.
+def _decode_lanes(data: np.ndarray, starts: np.ndarray, blocks: np.ndarray, pattern: np.ndarray, tables: np.ndarray, n_components: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``depth`` coefficients in zigzag order of all blocks of all lanes, and the lanes that are broken.
 
     pattern: the component of each block of an MCU; tables: a lookup for DC and AC of each component.
     """
@@ -247,7 +254,7 @@ def _decode_lanes(data: np.ndarray, starts: np.ndarray, blocks: np.ndarray, patt
     for k in range(8):
         words |= padded[k : k + n] << np.uint64(56 - 8 * k)
     first = np.cumsum(blocks) - blocks
-    coefficients = np.zeros((int(blocks.sum()), 64), np.int16)
+    coefficients = np.zeros((int(blocks.sum()), depth), np.int16)
     flat = coefficients.reshape(-1)
     lane = np.flatnonzero(blocks > 0)
     broken = np.zeros(len(starts), bool)
@@ -273,8 +280,8 @@ def _decode_lanes(data: np.ndarray, starts: np.ndarray, blocks: np.ndarray, patt
             last[r, c] += value[dc]
             value[dc] = last[r, c]
         bad = (entry == 0) | (at > end) | ((size > 0) & (place > 63))
-        put = (dc | (size > 0)) & ~bad
-        flat[(base[put] + block[put]) * 64 + place[put]] = value[put]
+        put = (dc | (size > 0)) & ~bad & (place < depth)
+        flat[(base[put] + block[put]) * depth + place[put]] = value[put]
         k = np.where(dc | (size > 0), place + 1, np.where(run == 15, k + 16, 64))
         over = k > 63
         block, k = block + over, np.where(over, 0, k)
@@ -287,8 +294,11 @@ def _decode_lanes(data: np.ndarray, starts: np.ndarray, blocks: np.ndarray, patt
     return coefficients, broken
 
 
-def decode(images: list[Image]) -> list[np.ndarray | None]:
-    """The coefficients (blocks x 64, zigzag order, in scan order) of each image; None for one whose scan is broken."""
+def decode(images: list[Image], depth: int = 64) -> list[np.ndarray | None]:
+    """The coefficients (blocks x depth, zigzag order, in scan order) of each image; None for one whose scan is broken.
+
+    A block takes two bits of the scan at least, so memory goes by the bytes that are there, whatever sides a header names.
+    """
     found: list[np.ndarray | None] = [None] * len(images)
     alike: dict[tuple, list[int]] = defaultdict(list)
     for k, x in enumerate(images):
@@ -308,7 +318,7 @@ def decode(images: list[Image]) -> list[np.ndarray | None]:
             shift = np.cumsum([0, *(len(w[1]) for w in waiting)])
             starts = np.concatenate([w[2] + s for w, s in zip(waiting, shift)])
             blocks = np.concatenate([w[3] for w in waiting])
-            coefficients, broken = _decode_lanes(data, starts, blocks, pattern, lookups, len(tables))
+            coefficients, broken = _decode_lanes(data, starts, blocks, pattern, lookups, len(tables), depth)
             a = b = 0
             for k, _, s, n in waiting:
                 if not broken[a : a + len(s)].any():
@@ -322,7 +332,7 @@ def decode(images: list[Image]) -> list[np.ndarray | None]:
             data, starts = _intervals(x.scan)
             each = x.restart or wide * high
             count = -(-wide * high // each)
-            if len(starts) < count:
+            if len(starts) < count or wide * high * len(pattern) > 4 * len(data):
                 continue
             blocks = np.full(count, each)
             blocks[-1] = wide * high - each * (count - 1)
@@ -381,7 +391,10 @@ def payload(image: Image, coefficients: np.ndarray) -> tuple[bytes, int]:
 
 
 def store(docs: DataFrame, column: str = "text", into: str = "media") -> DataFrame:
-    """doc_id and the media column ``into``: an image that holds the UTF-8 of ``column`` (null: empty)."""
+    """doc_id and the media column ``into``: an image that holds the UTF-8 of ``column`` (null: empty).
+
+    Each row has its image, rows that repeat too; a null doc_id stays null, other columns don't matter, and an empty table gives none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, column, 4_000_000):
@@ -392,7 +405,7 @@ def store(docs: DataFrame, column: str = "text", into: str = "media") -> DataFra
 
 
 def thumbnails(media: DataFrame, column: str = "media") -> DataFrame:
-    """doc_id, width, height, feature and problem of any JPEGs; what can't be read has a problem and nulls."""
+    """doc_id, width, height, feature and problem of any JPEGs, a row for each row; what can't be read, a null too, has a problem and nulls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, column, 4_000_000):
@@ -404,7 +417,7 @@ def thumbnails(media: DataFrame, column: str = "media") -> DataFrame:
                     images.append((k, parse(data or b"")))
                 except NotBaseline as e:
                     rows[k]["problem"] = str(e)
-            for (k, image), got in zip(images, decode([x for _, x in images]), strict=True):
+            for (k, image), got in zip(images, decode([x for _, x in images], 1), strict=True):
                 try:
                     if got is None:
                         raise NotBaseline("the scan is broken")
@@ -416,8 +429,16 @@ def thumbnails(media: DataFrame, column: str = "media") -> DataFrame:
     return media.select("doc_id", column).mapInArrow(run, "doc_id long, width long, height long, feature string, problem string")
 
 
+def round_trip(docs: DataFrame) -> DataFrame:
+    """Writes the images of ``docs`` to the shared folder and gives the digest of what is read back."""
+    return digest(written(store(docs), "media"))
+
+
 def digest(media: DataFrame) -> DataFrame:
-    """What the images of store() hold: the payload's and the image's lengths and digests, and the feature."""
+    """What the images of store() hold: the payload's and the image's lengths and digests, and the feature.
+
+    A row for each row of ``media``, repeated ones and those without a doc_id too; an empty table gives none. Equal texts have equal values.
+    """
     names = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
 

@@ -18,7 +18,7 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_jpeg.digest(media_jpeg.store(table(spark, sf_dir, "documents")))
+    return media_jpeg.round_trip(table(spark, sf_dir, "documents"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
