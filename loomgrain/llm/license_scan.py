@@ -27,8 +27,8 @@ CONTAINMENT = 0.8
 BLOCK = 4
 HASHES = 64
 COLLISION = 0.999
-#: Templates that are looked for in one pass over the documents.
-AT_ONCE = 5000
+#: Bytes of all templates' texts; more is refused, since all templates are sent to every worker at once.
+MOST_BYTES = 64_000_000
 
 #: Short notices, as (license, text). Full texts and standard headers are files of the folder licenses.
 NOTICES = (
@@ -114,14 +114,22 @@ def _small(hashes: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Templates:
-    """Templates by level: their shingle hashes, MinHash signatures, and of each hash function which values occur."""
+    """Templates by level: their shingle hashes, and of each hash function the MinHash values in order, whose they are, and which occur."""
 
     names: tuple[str, ...]
-    levels: dict[int, np.ndarray]
     shingles: tuple[frozenset[int], ...]
-    signatures: np.ndarray
+    values: dict[int, np.ndarray]
+    owners: dict[int, np.ndarray]
     present: dict[int, np.ndarray]
 
+    def retrieved(self, level: int, k: int, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The windows, and the templates whose value of hash function ``k`` they have."""
+        hit = np.flatnonzero(self.present[level][k][window >> 16])
+        low, high = (np.searchsorted(self.values[level][k], window[hit], side=side) for side in ("left", "right"))
+        times = high - low
+        each = np.repeat(np.arange(len(hit)), times)
+        return hit[each], self.owners[level][k][low[each] + np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)]
+
 
 def prepare(templates: Sequence[tuple[str, str]]) -> Templates:
     """Templates of fewer than five words have no shingle and are not looked for."""
@@ -136,20 +144,23 @@ def prepare(templates: Sequence[tuple[str, str]]) -> Templates:
             shingles.append(frozenset(own.tolist()))
             signatures.append((_small(own)[None, :] * _SEEDS[:, None]).min(axis=1))
             levels.append(level_of(len(own)))
-    by = {level: np.flatnonzero(np.array(levels) == level) for level in sorted(set(levels))}
+    values, owners, present = {}, {}, {}
     table = np.array(signatures, np.uint32).reshape(-1, HASHES)
-    present = {}
-    for level, own in by.items():
+    for level in sorted(set(levels)):
+        own = np.flatnonzero(np.array(levels) == level)
+        order = np.argsort(table[own], axis=0, kind="stable").T
+        owners[level] = own[order]
+        values[level] = np.take_along_axis(table[own].T, order, axis=1)
         present[level] = np.zeros((HASHES, 1 << 16), bool)
         for k in range(HASHES):
-            present[level][k, table[own, k] >> 16] = True
-    return Templates(tuple(names), by, tuple(shingles), table, present)
+            present[level][k, values[level][k] >> 16] = True
+    return Templates(tuple(names), tuple(shingles), values, owners, present)
 
 
 def _found(templates: Templates, column: pa.Array) -> list[tuple[int, int, float, int, int]]:
     """(row, template, containment, first word, end word) of each match in a column of texts."""
     offsets, codes, words = _words(column)
-    if not len(codes) or not templates.levels:
+    if not len(codes) or not templates.values:
         return []
     hashes = _shingles(codes, words)
     counts = np.maximum(0, np.diff(offsets) - SHINGLE + 1)
@@ -158,7 +169,7 @@ def _found(templates: Templates, column: pa.Array) -> list[tuple[int, int, float
         return []
     # blocks of each text by level; an odd last block stands alone on the level above
     blocks = [-(-counts[rows] // BLOCK)]
-    for _ in range(max(templates.levels)):
+    for _ in range(max(templates.values)):
         blocks.append((blocks[-1] + 1) // 2)
     starts = [np.cumsum(b) - b for b in blocks]
     inside = [np.arange(int(b.sum())) - np.repeat(s, b) for b, s in zip(blocks, starts, strict=True)]
@@ -177,15 +188,13 @@ def _found(templates: Templates, column: pa.Array) -> list[tuple[int, int, float
         for level in range(len(blocks)):
             if level:
                 least = np.minimum(least[left[level]], least[right[level]])
-            if level not in templates.levels:
+            if level not in templates.values:
                 continue
             window = least.copy()
             np.minimum(window[:-1], least[1:], out=window[:-1])
             window[last[level]] = least[last[level]]
-            hit = np.flatnonzero(templates.present[level][k][window >> 16])
-            if len(hit):
-                for t in templates.levels[level].tolist():
-                    pairs.update((level, w, t) for w in hit[window[hit] == templates.signatures[t, k]].tolist())
+            at, whose = templates.retrieved(level, k, window)
+            pairs.update(zip([level] * len(at), at.tolist(), whose.tolist()))
     matches = {}
     for level, w, t in sorted(pairs):
         size = BLOCK << level
@@ -220,20 +229,17 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = NOTICES) -> Dat
     Null and empty texts and texts of fewer than five words hold none. Repeated rows each give their own. Where
     templates overlap, one goes of which others with a higher containment cover half; without templates there are no rows.
     """
-    spark, schema = docs.sparkSession, "doc_id long, license string, containment double, begin long, end long"
-    all_found = None
-    for k in range(0, len(templates), AT_ONCE):
-        shipped = spark.sparkContext.broadcast(prepare(templates[k : k + AT_ONCE]))
-
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            own = shipped.value
-            for batch in slices(batches, "text", 4_000_000):
-                rows = _found(own, batch.column("text"))
-                names = batch.column("doc_id").to_pylist()
-                columns = ([names[r[0]] for r in rows], [own.names[r[1]] for r in rows], *([r[i] for r in rows] for i in (2, 3, 4)))
-                kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "license", "containment", "begin", "end"])
-
-        found = docs.select("doc_id", "text").mapInArrow(run, schema)
-        all_found = found if all_found is None else all_found.unionByName(found)
-    return spark.createDataFrame([], schema) if all_found is None else all_found
+    if sum(len(text.encode()) for _, text in templates) > MOST_BYTES:
+        raise ValueError(f"more than {MOST_BYTES} bytes of templates")
+    shipped = docs.sparkSession.sparkContext.broadcast(prepare(templates))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shipped.value
+        for batch in slices(batches, "text", 4_000_000):
+            rows = _found(own, batch.column("text"))
+            names = batch.column("doc_id").to_pylist()
+            columns = ([names[r[0]] for r in rows], [own.names[r[1]] for r in rows], *([r[i] for r in rows] for i in (2, 3, 4)))
+            kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "license", "containment", "begin", "end"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, license string, containment double, begin long, end long")

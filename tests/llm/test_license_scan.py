@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from loomgrain.llm import license_scan as ls
 from tests.llm.helpers import ODD, docs, empty
 
@@ -49,10 +51,21 @@ def test_query_on_odd_rows(spark):
     assert ls.scan(empty(spark)).count() == 0 and ls.scan(docs(spark, rows), []).count() == 0
 
 
-def test_templates_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(ls, "AT_ONCE", 4)
-    rows = [(1, "Released under the MIT License. Licensed under CC BY-NC 4.0.")]
-    assert {r["license"] for r in ls.scan(docs(spark, rows)).collect()} >= {"MIT", "CC-BY-NC-4.0"}
+def test_overlaps_are_settled_among_all_templates(spark):
+    """Of a template and one that holds it and more, the better match stays, whatever stands between them in the list."""
+    body = " ".join(WORDS[:40])
+    other = " ".join(WORDS[100:110])
+    fillers = [(f"f{k}", " ".join(random.Random(k).sample(WORDS[200:], 12))) for k in range(300)]
+    first, second = ("whole", body), ("part", " ".join([*WORDS[:33], *WORDS[150:157]]))
+    for templates in ([first, second, *fillers], [first, *fillers, second], [second, *fillers, first]):
+        rows = ls.scan(docs(spark, [(1, f"{other} {body} {other}")]), templates).collect()
+        assert [(r["license"], r["containment"]) for r in rows] == [("whole", 1.0)]
+
+
+def test_too_many_templates_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(ls, "MOST_BYTES", 100)
+    with pytest.raises(ValueError, match="templates"):
+        ls.scan(docs(spark, [(1, "a")]))
 
 
 def test_full_texts_and_headers_by_the_query(spark, tmp_path):
