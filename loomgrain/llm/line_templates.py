@@ -1,13 +1,14 @@
 """Line dedup by a tree of log templates, in DataFrame functions alone.
 
 A line's leaf in the tree of fixed depth is its number of words and its first DEPTH words. Words with digits are
-variable fields at once. In a leaf, a word stays constant at its place where enough of the leaf's lines have it there,
+variable fields at once, but in a line of which they are more than half, as in a row of numbers: it recurs only as it is. In a leaf, a word stays constant at its place where enough of the leaf's lines have it there,
 and is a variable field elsewhere; what is left is the line's template, and one with too few constants among its words without
 digits is none. How many lines are enough is asked at each of SUPPORTS, whatever else the leaf holds, and at the share COMMON of it.
 A template that MIN_DOCS documents have recurs: its lines go from all documents but the first, that with the least doc_id. What a
 higher support makes of lines holds all that a lower one does, so the first of the widest template stays.
 
-Lines of fewer than MIN_WORDS words, which recur by chance, stay. A document is a row: rows that repeat a doc_id and its text
+Lines of LONG_WORDS words recur from LONG_DOCS documents on; those of fewer than MIN_WORDS words, which recur by chance, from SHORT_DOCS on
+and without fields found in leaves; one word alone never. A document is a row: rows that repeat a doc_id and its text
 are one document. A null text has no lines and stays null; an empty text stays; a null doc_id comes last. Other columns
 pass through.
 """
@@ -22,6 +23,8 @@ from loomgrain.llm.shared import fresh, written
 DEPTH = 3
 MIN_WORDS = 5
 MIN_DOCS = 3
+LONG_WORDS, LONG_DOCS = 50, 2
+SHORT_DOCS = 10
 #: Lines of a leaf that must have a word at a place for it to be constant there: each of these, and this share or MIN_DOCS.
 SUPPORTS = tuple(MIN_DOCS * 4**k for k in range(8))
 COMMON = 0.05
@@ -35,14 +38,23 @@ FIELD = "<*>"
 _WITH_DIGIT = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*"
 
 
-def _masked(line: Column) -> Column:
-    """The line with single spaces and its words with digits as fields. Most lines have nothing to change."""
-    spaced = F.regexp_replace(line, "[\t\r ]+", " ")
-    return F.trim(F.when(line.rlike("[0-9\t\r]|  "), F.regexp_replace(spaced, _WITH_DIGIT, FIELD)).otherwise(line))
+def _masked(lines: Column) -> Column:
+    """Lines with single spaces and their words with digits as fields. Most lines have nothing to change."""
+
+    def both(line: Column) -> Column:
+        spaced = F.trim(F.when(line.rlike("[\t\r]|  "), F.regexp_replace(line, "[\t\r ]+", " ")).otherwise(line))
+        return F.struct(spaced.alias("line"), F.when(line.rlike("[0-9]"), F.regexp_replace(spaced, _WITH_DIGIT, FIELD)).alias("masked"))
+
+    def chosen(x: Column) -> Column:
+        fields = F.length(x["masked"]) - F.length(F.replace(x["masked"], F.lit(FIELD), F.lit("")))
+        return F.when(x["masked"].isNull() | (2 * fields > len(FIELD) * _n_words(x["masked"])), x["line"]).otherwise(x["masked"])
+
+    return F.transform(F.transform(lines, both), chosen)
 
 
 def _leaf(masked: Column) -> Column:
-    return F.xxhash64(_n_words(masked), F.substring_index(masked, " ", DEPTH))
+    """Null for lines that have none: short ones, and those whose digits are words."""
+    return F.when((_n_words(masked) >= MIN_WORDS) & ~masked.rlike("[0-9]"), F.xxhash64(_n_words(masked), F.substring_index(masked, " ", DEPTH)))
 
 
 def _n_words(masked: Column) -> Column:
@@ -54,17 +66,22 @@ def _key() -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, k, pos and masked of every line that is long enough."""
+    """doc_id, k, pos and masked of every line of two words or more."""
     # masked inside the array, so that what stands above reads the result and doesn't mask again
-    cut = docs.select("doc_id", _key().alias("k"), F.posexplode(F.transform(F.split("text", "\n", -1), _masked)).alias("pos", "masked"))
-    return cut.where(_n_words(F.col("masked")) >= MIN_WORDS)
+    cut = docs.select("doc_id", _key().alias("k"), F.posexplode(_masked(F.split("text", "\n", -1))).alias("pos", "masked"))
+    return cut.where(F.col("masked").contains(" "))
+
+
+def _enough(n_words: Column) -> Column:
+    """How many documents make a line of so many words recur."""
+    return F.when(n_words >= LONG_WORDS, LONG_DOCS).when(n_words >= MIN_WORDS, MIN_DOCS).otherwise(SHORT_DOCS)
 
 
-def _recurring(lines: DataFrame, template: str) -> DataFrame:
-    """The templates of MIN_DOCS documents or more, each with its first document (nulls last)."""
-    each = lines.select(template, "doc_id", "k").distinct()
+def _recurring(lines: DataFrame, template: str, enough: Column) -> DataFrame:
+    """The templates of ``enough`` documents or more, each with its first document (nulls last)."""
+    each = lines.select(template, "doc_id", "k", enough.alias("enough")).distinct()
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("k"))
-    return each.groupBy(template).agg(F.count("*").alias("n_docs"), F.min(order)["k"].alias("first")).where(F.col("n_docs") >= MIN_DOCS)
+    return each.groupBy(template).agg(F.count("*").alias("n_docs"), F.min(order)["k"].alias("first"), F.max("enough").alias("enough")).where(F.col("n_docs") >= F.col("enough"))
 
 
 def _shared_leaf_bits(leaves: DataFrame) -> DataFrame:
@@ -76,16 +93,17 @@ def _shared_leaf_bits(leaves: DataFrame) -> DataFrame:
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, k, pos) of the lines that go."""
-    lines = written(_lines(docs).select("doc_id", "k", "pos", F.xxhash64("masked").alias("template"), _leaf(F.col("masked")).alias("leaf")), "lines")
-    same = written(_recurring(lines, "template"), "line-templates")
+    lines = written(_lines(docs).select("doc_id", "k", "pos", F.xxhash64("masked").alias("template"), _leaf(F.col("masked")).alias("leaf"), _enough(_n_words(F.col("masked"))).alias("enough")), "lines")
+    same = written(_recurring(lines, "template", F.col("enough")), "line-templates")
     by_mask = lines.join(same, "template").where("k <> first").select("doc_id", "k", "pos")
 
     # leaves that enough lines share whose template does not recur as it is
-    single = lines.join(same, "template", "left_anti")
+    single = lines.where("leaf is not null").join(same, "template", "left_anti")
     leaves = written(single.groupBy("leaf").agg(F.count("*").alias("n_lines")).where(F.col("n_lines") >= MIN_DOCS), "line-leaves")
     bits = _shared_leaf_bits(leaves)
     place = F.col("leaf").bitwiseAND((1 << FILTER_BITS) - 1)
-    again = _lines(docs).select("doc_id", "k", "pos", "masked", F.xxhash64("masked").alias("template"), _leaf(F.col("masked")).alias("leaf"), F.shiftright(place, 6).alias("word"), place.bitwiseAND(63).cast("int").alias("bit"))
+    # masked again rather than written with the lines: those of shared leaves are few, all of them are the input's size
+    again = _lines(docs).where(_leaf(F.col("masked")).isNotNull()).select("doc_id", "k", "pos", "masked", F.xxhash64("masked").alias("template"), _leaf(F.col("masked")).alias("leaf"), F.shiftright(place, 6).alias("word"), place.bitwiseAND(63).cast("int").alias("bit"))
     maybe = again.join(F.broadcast(bits), "word").where(F.expr("shiftright(bits, bit) & 1L = 1L"))
     cut = maybe.join(leaves, "leaf").join(same.select("template"), "template", "left_anti")
     words = written(cut.select("doc_id", "k", "pos", "leaf", "n_lines", F.posexplode(F.split("masked", " ")).alias("at", "word")).select("doc_id", "k", "pos", "leaf", "n_lines", "at", F.xxhash64("word").alias("word"), (F.col("word") != FIELD).alias("fixed")), "line-words")
@@ -106,7 +124,7 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     forms = F.array(*(F.when((F.col("n_fixed") > 0) & (F.col(f"n_{i}") >= CONSTANT * F.col("n_fixed")), F.col(f"form_{i}")) for i in range(len(constant))))
     general = judged.select("doc_id", "k", "pos", "leaf", F.explode(F.array_distinct(F.array_compact(forms))).alias("form")).select("doc_id", "k", "pos", F.xxhash64("leaf", "form").alias("template"))
     general = written(general, "general-templates")
-    by_leaf = general.join(_recurring(general, "template"), "template").where("k <> first").select("doc_id", "k", "pos")
+    by_leaf = general.join(_recurring(general, "template", F.lit(MIN_DOCS)), "template").where("k <> first").select("doc_id", "k", "pos")
     return by_mask.unionByName(by_leaf).distinct()
 
 
@@ -118,7 +136,10 @@ def dedup(docs: DataFrame) -> DataFrame:
     own, gone, key, lost = (fresh(docs, x) for x in ("own_key", "gone_id", "gone_key", "gone"))
     out = recurring_lines(docs).groupBy("doc_id", "k").agg(F.collect_set("pos").alias(lost)).select(F.col("doc_id").alias(gone), F.col("k").alias(key), lost)
     joined = docs.withColumn(own, _key()).join(out, F.col("doc_id").eqNullSafe(F.col(gone)) & (F.col(own) == F.col(key)), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(lost, i)), "\n")
+    # a hashed difference of places, and lines that are cut once: linear in a text of any number of dropped lines
+    lines = F.split("text", "\n", -1)
+    cut = F.struct(lines.alias("lines"), F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(lost)).alias("stay"))
+    kept = F.transform(F.array(cut), lambda x: F.array_join(F.transform(x["stay"], lambda i: F.get(x["lines"], i)), "\n"))[0]
     text = F.when(F.col(lost).isNull(), F.col("text")).otherwise(kept)
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n", -1)))
     rest = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]

@@ -7,42 +7,46 @@ from loomgrain.sources.tables import table
 from tests.llm.helpers import LONG, ODD, docs, empty
 
 
+def cut(line):
+    """The template of a line as it is."""
+    words = [w for w in line.replace("\t", " ").replace("\r", " ").split(" ") if w]
+    masked = ["<*>" if any(c in "0123456789" for c in w) else w for w in words]
+    return tuple(words if 2 * masked.count("<*>") > len(words) else masked)
+
+
 def slow(rows):
     """(doc_id, kept text, n_lines, n_dropped) by hand."""
     lines = []
     for n, (doc, text, *_) in enumerate(rows):
         key = (doc is None, -1 if doc is None else doc, text or "")
-        for pos, line in enumerate((text if text is not None else "").split("\n") if text is not None else []):
-            words = [w for w in line.replace("\t", " ").replace("\r", " ").split(" ") if w]
-            words = ["<*>" if any(c in "0123456789" for c in w) else w for w in words]
-            if len(words) >= lt.MIN_WORDS:
-                lines.append((n, key, pos, tuple(words)))
+        for pos, line in enumerate(text.split("\n") if text is not None else []):
+            if len(cut(line)) > 1:
+                lines.append((n, key, pos, cut(line)))
 
-    def recurring(found):
+    def recurring(found, enough):
         owners = defaultdict(set)
         for _, key, _, t in found:
             owners[t].add(key)
-        return {t: min(k) for t, k in owners.items() if len(k) >= lt.MIN_DOCS}
+        return {t: min(k) for t, k in owners.items() if len(k) >= enough(t)}
 
-    gone, same = defaultdict(set), recurring(lines)
+    gone, same = defaultdict(set), recurring(lines, lambda t: 2 if len(t) >= 50 else 3 if len(t) >= 5 else 10)
     for n, key, pos, t in lines:
         if t in same and key != same[t]:
             gone[n].add(pos)
-    single = [x for x in lines if x[3] not in same]
+    single = [x for x in lines if x[3] not in same and len(x[3]) >= 5 and not any(c in "0123456789" for w in x[3] for c in w)]
     leaves, words = defaultdict(int), defaultdict(int)
     leaf = lambda t: (len(t), t[: lt.DEPTH])
     for _, _, _, t in single:
         leaves[leaf(t)] += 1
         for at, w in enumerate(t):
             words[leaf(t), at, w] += 1
-    general = []
+    general = set()
     for n, key, pos, t in single:
-        if leaves[leaf(t)] < lt.MIN_DOCS:
-            continue
-        fixed = [w != "<*>" and words[leaf(t), at, w] >= max(lt.MIN_DOCS, lt.COMMON * leaves[leaf(t)]) for at, w in enumerate(t)]
-        if sum(fixed) >= lt.CONSTANT * len(t):
-            general.append((n, key, pos, tuple(w if f else None for w, f in zip(t, fixed))))
-    forms = recurring(general)
+        for enough in (*lt.SUPPORTS, max(lt.MIN_DOCS, lt.COMMON * leaves[leaf(t)])):
+            fixed = [w != "<*>" and words[leaf(t), at, w] >= enough for at, w in enumerate(t)]
+            if leaves[leaf(t)] >= 3 and any(w != "<*>" for w in t) and sum(fixed) >= lt.CONSTANT * sum(w != "<*>" for w in t):
+                general.add((n, key, pos, tuple(w if f else None for w, f in zip(t, fixed))))
+    forms = recurring(general, lambda t: 3)
     for n, key, pos, t in general:
         if t in forms and key != forms[t]:
             gone[n].add(pos)
@@ -108,3 +112,29 @@ def test_other_lines_of_the_leaf_do_not_decide(spark):
 def test_digit_fields_do_not_count_against_a_template(spark):
     rows = [(n, f"job 1{n} took 2{n} ms on host {x} with 3{n} and 4{n} errors") for n, x in enumerate("ada bea cid dov eva".split())]
     assert [x[3] for x in got(docs(spark, rows))] == [0, 1, 1, 1, 1]
+
+
+def test_a_template_in_a_hot_leaf(spark):
+    """A template of 100 documents is found among 100,000 other lines of its leaf."""
+    spread = F.expr("concat_ws(' ', transform(sequence(1, 7), i -> translate(conv(abs(xxhash64(id, i)) % 500000, 10, 26), '0123456789', 'qrstuvwxyz')))")
+    others = spark.range(1000, 101_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("User has now "), spread).alias("text"))
+    name = F.expr("concat(translate(conv(id + 700, 10, 26), '0123456789', 'qrstuvwxyz'), 'x')")
+    planted = spark.range(100).select(F.col("id").alias("doc_id"), F.concat(F.lit("User has now "), name, F.lit(" signed in at the desk")).alias("text"))
+    found = lt.recurring_lines(others.unionByName(planted)).where("doc_id < 1000").collect()
+    assert sorted(r["doc_id"] for r in found) == list(range(1, 100))
+
+
+def test_long_and_short_lines_and_rows_of_numbers(spark):
+    passage = " ".join(f"{w}tion" for w in "abcdefghijklmnopqrstuvwxyz") + " " + " ".join(f"un{w}" for w in "abcdefghijklmnopqrstuvwxyz")
+    rows = [(k, f"{k} {k + 1} {k * 7} {k * 9} {k + 3}\nRead more\nMenu" + (f"\n{passage}" if k in (3, 6) else "")) for k in range(12)]
+    found = got(docs(spark, rows))
+    assert found == slow(rows)
+    kept = {x[0]: x[1] for x in found}
+    assert [k for k in kept if "Read more" in kept[k]] == [0] and all("Menu" in t and t[0].isdigit() for t in kept.values())
+    assert [k for k in kept if passage in kept[k]] == [3]
+
+
+def test_a_text_of_very_many_dropped_lines(spark):
+    text = "\n".join(f"line of the log that recurs in all of them {'abcdefghij'[k % 10]}" + "\nown" * (k % 1000 == 0) for k in range(20_000))
+    found = {x[0]: x for x in got(docs(spark, [(k, text) for k in range(3)]))}
+    assert found[0][3] == 0 and found[1][3] == found[2][3] == 20_000 and found[2][1] == "\n".join(["own"] * 20)
