@@ -2,39 +2,45 @@
 
 Words become a template: numbers, names and units turn into typed placeholders, other words lose case and the signs
 around them. Windows of five template words are hashed and joined with the windows of the benchmark's items. A document
-that has at least CONTAINMENT of an item's windows is a candidate; then its slots are compared: one value of the item
+that has at least CONTAINMENT of an item's windows close together is a candidate; then its slots are compared: one value of the item
 must always stand for one value of the document. Consistent slots make a leak, ``exact`` where all values are the item's
 and ``reparameterised`` elsewhere; inconsistent ones make none.
 
 Beside them stand literal windows: five words each without case, numbers and names as they are; of an item of fewer words all of
-them. A document that has at least CONTAINMENT of an item's literal windows is an ``exact`` leak, whatever its templates say.
+them. A document that has at least CONTAINMENT of an item's literal windows close together is an ``exact`` leak, whatever its templates say.
 
-Items are held by blocks of at most BLOCK_WINDOWS windows; each block is sent to the executors and meets every
-document, so a benchmark of any size is read whole with bounded memory.
+The join is on each item's rarest windows alone, so many that a document without any of them can't reach CONTAINMENT: a stem that
+many items share is joined only where an item has little else. Documents are read once for their windows; a filter of fixed size lets
+through those that some item has. Pairs that meet are read exactly, from the texts of both.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from loomgrain.llm.shared import slices
+from loomgrain.llm.shared import fresh, slices, written
 
 WINDOW = 5
 CONTAINMENT = 0.8
 CONSISTENT = 0.8
 #: Words of a window that must be no placeholder.
 LITERALS = 3
-BLOCK_WINDOWS = 1_000_000
-_PLACES = 24
+#: The windows of a leak lie within so many times the item's words.
+SPREAD = 2
+#: Bits of the filter of windows; 8 MB whatever the benchmark's size.
+FILTER_BITS = 26
+#: Items that are read beside a document's text at once.
+ITEMS_AT_ONCE = 256
 
 UNITS = frozenset(
     "mm cm m km in ft yd mi mg g kg t lb lbs oz ml cl l s sec secs min mins h hr hrs ms hz khz mhz ghz w kw mw v a ma kb mb gb tb bit bits byte bytes"
@@ -119,181 +125,253 @@ def _plain(words: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(_bare(w).casefold(), 2) for w in words), np.uint64, len(words))
 
 
-@dataclass(frozen=True)
-class Index:
-    """Windows of items: sorted hashes, and of each the item and the window's place; needed holds the number of each item's windows."""
-
-    needed: np.ndarray
-    hashes: np.ndarray
-    items: np.ndarray
-    places: np.ndarray
-    present: np.ndarray
-
-    @classmethod
-    def of(cls, needed: list[int], hashes: list[np.ndarray], items: list[np.ndarray], places: list[np.ndarray]) -> Index:
-        joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hashes, items, places)]
-        order = np.argsort(joined[0], kind="stable")
-        present = np.zeros(1 << _PLACES, bool)
-        present[(joined[0].astype(np.uint64) >> np.uint64(64 - _PLACES)).astype(np.int64)] = True
-        return cls(np.array(needed), joined[0][order].astype(np.uint64), joined[1][order], joined[2][order], present)
-
-    def pairs(self, hashed: np.ndarray, good: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(row, item, places in the item, places in the column) of each pair with enough of the item's windows."""
-        if not len(hashed) or not len(self.hashes):
-            return
-        at = np.flatnonzero(good & self.present[(hashed >> np.uint64(64 - _PLACES)).astype(np.int64)])
-        low = np.searchsorted(self.hashes, hashed[at], side="left")
-        times = np.searchsorted(self.hashes, hashed[at], side="right") - low
-        each = np.repeat(np.arange(len(at)), times)
-        entry = low[each] + np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
-        place, item, inner = at[each], self.items[entry], self.places[entry]
-        pair = doc[place] * len(self.needed) + item
-        order = np.lexsort((place, inner, pair))
-        pair, place, inner = pair[order], place[order], inner[order]
-        cuts = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else np.zeros(0, int)
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(pair)]):
-            row, k = divmod(int(pair[a]), len(self.needed))
-            if len(np.unique(inner[a:b])) >= CONTAINMENT * int(self.needed[k]):
-                yield row, k, inner[a:b], place[a:b]
-
-
-@dataclass(frozen=True)
-class Block:
-    """Items with the windows of their templates, and their literal windows by width."""
-
-    item_ids: list[int | None]
-    words: list[list[str]]
-    slots: list[np.ndarray]
-    windows: Index
-    literal: dict[int, Index]
-
-
-def _block(rows: list[tuple[int | None, str | None]]) -> Block:
-    offsets, template, slot, codes, words = _templates(pa.array([x for _, x in rows], pa.string()))
-    hashes, items, places, needed, names, slots = [], [], [], [], [], []
-    plain = _plain(words)[codes] if len(codes) else np.zeros(0, np.uint64)
-    widths: dict[int, tuple[list[int], list[np.ndarray], list[np.ndarray], list[np.ndarray]]] = {}
-    for k in range(len(rows)):
-        a, b = int(offsets[k]), int(offsets[k + 1])
-        own, good = _windows(template[a:b], slot[a:b])
-        at = np.flatnonzero(good)
-        needed.append(len(at))
-        names.append([words[c] for c in codes[a:b].tolist()])
-        slots.append(slot[a:b])
-        if b > a:
-            width = min(WINDOW, b - a)
-            own_needed, own_hashes, own_items, own_places = widths.setdefault(width, ([0] * len(rows), [], [], []))
-            own_hashes.append(_literal(plain[a:b], width))
-            own_needed[k] = len(own_hashes[-1])
-            own_items.append(np.full(own_needed[k], k))
-            own_places.append(np.arange(own_needed[k]))
-        hashes.append(own[at])
-        items.append(np.full(len(at), k))
-        places.append(at)
+class Item:
+    """An item's words, template windows and literal windows: (place, hash) of each."""
+
+    def __init__(self, text: str) -> None:
+        _, template, slot, codes, words = _templates(pa.array([text], pa.string()))
+        self.words, self.slot = [_bare(words[c]).lower() for c in codes.tolist()], slot
+        own, good = _windows(template, slot)
+        places = np.flatnonzero(good)
+        self.needed = len(places)
+        hashes = own[places]
         # inside a document's sentence the item's first word may pass for a name
-        if len(own) and not slot[a] and _bare(names[-1][0])[:1].isupper():
-            other, mark = template[a : a + WINDOW].copy(), slot[a : a + WINDOW].copy()
-            other[0], mark[0] = np.uint64(NAME), True
-            own, good = _windows(other, mark)
+        if len(own) and not slot[0] and words[codes[0]] and _bare(words[codes[0]])[:1].isupper():
+            template, slot = template[:WINDOW].copy(), slot[:WINDOW].copy()
+            template[0], slot[0] = np.uint64(NAME), True
+            other, good = _windows(template, slot)
             if good[0]:
-                hashes.append(own)
-                items.append(np.array([k]))
-                places.append(np.array([0]))
-    return Block([i for i, _ in rows], names, slots, Index.of(needed, hashes, items, places), {width: Index.of(*x) for width, x in widths.items()})
-
-
-def blocks(benchmark: DataFrame, most: int = BLOCK_WINDOWS) -> Iterator[Block]:
-    """The items of ``benchmark`` (item_id, text) in blocks; an item is read whole. Null and repeated items are kept as they are."""
-    rows, held = [], 0
-    for r in benchmark.select("item_id", "text").toLocalIterator():
-        rows.append((r["item_id"], r["text"]))
-        held += len((r["text"] or "").split())
-        if held >= most:
-            yield _block(rows)
-            rows, held = [], 0
-    if rows:
-        yield _block(rows)
-
-
-def _found(block: Block, column: pa.Array) -> list[tuple[int, int, float, str, int]]:
-    """(row, item, containment, kind, changed slots) of each leak in a column of texts."""
-    offsets, template, slot, codes, words = _templates(column)
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    found = {}
-    hashed, good = _windows(template, slot)
-    good &= doc[: len(hashed)] == doc[len(doc) - len(hashed) :]
-    for row, k, inner, place in block.windows.pairs(hashed, good, doc):
-        ok, changed = _consistent(block, k, inner, place, lambda p: words[codes[p]])
-        if ok:
-            have = len(np.unique(inner)) / int(block.windows.needed[k])
-            found[row, k] = (row, k, have, "reparameterised" if changed else "exact", changed)
-    plain = _plain(words)[codes] if len(codes) else np.zeros(0, np.uint64)
-    for width, index in block.literal.items():
-        hashed = _literal(plain, width)
-        good = doc[: len(hashed)] == doc[len(doc) - len(hashed) :]
-        for row, k, inner, _ in index.pairs(hashed, good, doc):
-            found.setdefault((row, k), (row, k, len(np.unique(inner)) / int(index.needed[k]), "exact", 0))
-    return [found[x] for x in sorted(found)]
-
-
-def _consistent(block: Block, k: int, inner: np.ndarray, place: np.ndarray, word: Callable[[int], str]) -> tuple[bool, int]:
-    """Whether each slot value of the item stands for one value of the document, and how many differ from the item's.
-
-    A window that the document has more than once is read where most windows of the item lie beside it.
+                places, hashes, self.needed = np.append(places, 0), np.append(hashes, other), self.needed + (0 not in places)
+        self.places, self.hashes = places, hashes
+        self.width = min(WINDOW, len(codes))
+        self.literal = _literal(_plain(words)[codes], self.width) if self.width else np.zeros(0, np.uint64)
+
+
+@lru_cache(maxsize=4096)
+def _item(text: str) -> Item:
+    return Item(text)
+
+
+def item_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(item, item_id, text) of each distinct text, under its least item_id; and (item, set, width, place, hash) of all its windows.
+
+    Null texts and texts without words have none. set: 0 for template windows, 1 for literal ones.
     """
-    shift = Counter((place - inner).tolist())
-    best: dict[int, int] = {}
-    for i, p in zip(inner.tolist(), place.tolist(), strict=True):
-        if i not in best or shift[p - i] > shift[best[i] - i]:
-            best[i] = p
-    values: dict[str, Counter] = defaultdict(Counter)
-    seen = set()
-    for i, p in best.items():
-        for j in range(WINDOW):
-            if block.slots[k][i + j] and i + j not in seen:
-                seen.add(i + j)
-                values[_bare(block.words[k][i + j]).lower()][_bare(word(p + j)).lower()] += 1
-    total = sum(sum(c.values()) for c in values.values())
-    agreed = sum(max(c.values()) for c in values.values())
-    return agreed >= CONSISTENT * total, sum(1 for v, c in values.items() if c.most_common(1)[0][0] != v)
+    items = benchmark.where("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id")).select(F.xxhash64("text").alias("item"), "item_id", "text")
+    items = written(items, "benchmark-items")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                own = Item(text)
+                n, m = len(own.hashes), len(own.literal)
+                sets = np.repeat(np.array([0, 1], np.int32), [n, m])
+                widths = np.repeat(np.array([0, own.width], np.int32), [n, m])
+                places = np.concatenate([own.places, np.arange(m)]).astype(np.int64)
+                hashes = np.concatenate([own.hashes, own.literal]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n + m, key)), pa.array(sets), pa.array(widths), pa.array(places), pa.array(hashes)], names=["item", "set", "width", "place", "hash"])
+
+    return items, items.select("item", "text").mapInArrow(run, "item long, set int, width int, place long, hash long")
+
+
+def _rarest(windows: DataFrame) -> DataFrame:
+    """(item, width, hash) of so many of each set's rarest places that CONTAINMENT can't be reached without them."""
+    known = windows.groupBy("hash").agg(F.count("*").alias("n"))
+    each = windows.join(known, "hash")
+    places = each.groupBy("item", "set", "place").agg(F.sum("n").alias("n"))
+    own = Window.partitionBy("item", "set")
+    ranked = places.withColumn("rank", F.row_number().over(own.orderBy("n", "place"))).withColumn("all", F.count("*").over(own))
+    kept = ranked.where(F.col("rank") <= F.col("all") - F.ceil(F.col("all") * CONTAINMENT) + 1).select("item", "set", "place")
+    return windows.join(kept, ["item", "set", "place"], "left_semi").select("item", "width", "hash").distinct()
+
+
+def _filter(rarest: DataFrame) -> np.ndarray:
+    """A bit for each window; of fixed size, so it may go through the driver."""
+    place = F.shiftright(F.col("hash"), 64 - FILTER_BITS).bitwiseAND((1 << FILTER_BITS) - 1)
+    one = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    rows = rarest.select(place.alias("place")).groupBy(F.shiftright("place", 6).cast("int").alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+    found = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    found[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return found.view(np.uint64)
+
+
+def _passes(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    place = hashed >> np.uint64(64 - FILTER_BITS)
+    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _inside(doc: np.ndarray, n: int) -> np.ndarray:
+    """Whether the ``n`` windows of a column end in the text in which they begin."""
+    return doc[:n] == doc[len(doc) - n :]
+
+
+def candidates(docs: DataFrame, key: str, rarest: DataFrame) -> DataFrame:
+    """(key, item) of texts that have one of an item's rarest windows."""
+    widths = sorted(r[0] for r in rarest.select("width").distinct().collect())  # six at most
+    shipped = docs.sparkSession.sparkContext.broadcast(_filter(rarest))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shipped.value
+        for batch in slices(batches, "text"):
+            offsets, template, slot, codes, words = _templates(batch.column("text"))
+            doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+            plain = _plain(words)[codes] if len(codes) else np.zeros(0, np.uint64)
+            rows, hashes = [], []
+            for width in widths:
+                hashed, good = _windows(template, slot) if width == 0 else (_literal(plain, width), True)
+                at = np.flatnonzero(good & _inside(doc, len(hashed)) & _passes(bits, hashed))
+                rows.append(doc[at])
+                hashes.append(hashed[at])
+            if rows:
+                found = np.unique(np.stack([np.concatenate(rows).astype(np.uint64), np.concatenate(hashes)]), axis=1)
+                keys = batch.column(key).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(keys[found[0].astype(np.int64)]), pa.array(found[1].view(np.int64))], names=["key", "hash"])
+
+    hits = docs.select(key, "text").mapInArrow(run, "key long, hash long")
+    return hits.join(rarest.select("hash", "item"), "hash").select("key", "item").distinct()
+
+
+def _spans(place: np.ndarray, inner: np.ndarray, reach: int, needed: int) -> Iterator[slice]:
+    """Of hits in order of their place, the stretches within ``reach`` that have so many of the item's windows; one that a longer one holds is left out."""
+    end, over = 0, 0
+    counts: Counter = Counter()
+    for begin in range(len(place)):
+        while end < len(place) and place[end] < place[begin] + reach:
+            counts[int(inner[end])] += 1
+            end += 1
+        if len(counts) >= needed and end > over:
+            yield slice(begin, end)
+            over = end
+        counts[int(inner[begin])] -= 1
+        if not counts[int(inner[begin])]:
+            del counts[int(inner[begin])]
+
+
+def _hits(order: np.ndarray, ranked: np.ndarray, places: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the text and in the item of the windows that both have, in order of the text; ranked: the text's hashes, sorted by ``order``."""
+    low, high = (np.searchsorted(ranked, hashes, side=side) for side in ("left", "right"))
+    times = high - low
+    each = np.repeat(np.arange(len(hashes)), times)
+    place = order[low[each] + np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)]
+    inner = places[each]
+    by = np.lexsort((inner, place))
+    return place[by], inner[by]
+
+
+class _Text:
+    """A document's windows, sorted for look-up."""
+
+    def __init__(self, text: str) -> None:
+        _, template, slot, codes, words = _templates(pa.array([text], pa.string()))
+        self.codes, self.words = codes, words
+        hashed, good = _windows(template, slot)
+        at = np.flatnonzero(good)
+        self.order = at[np.argsort(hashed[at], kind="stable")]
+        self.ranked = hashed[self.order]
+        self.plain = _plain(words)[codes] if len(codes) else np.zeros(0, np.uint64)
+        self.literal: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def word(self, place: int) -> str:
+        return _bare(self.words[self.codes[place]]).lower()
+
+    def leak(self, item: Item) -> tuple[float, str, int] | None:
+        """containment, kind and changed slot values of the best stretch that has the item."""
+        reach = SPREAD * max(len(item.words), WINDOW)
+        best: tuple[float, int] | None = None
+        place, inner = _hits(self.order, self.ranked, item.places, item.hashes)
+        if item.needed:
+            for s in _spans(place, inner, reach, _least(item.needed)):
+                ok, changed = self._consistent(item, inner[s], place[s])
+                told = (len(np.unique(inner[s])) / item.needed, -changed)
+                if ok and (best is None or told > best):
+                    best = told
+        if best is not None:
+            return best[0], "reparameterised" if best[1] else "exact", -best[1]
+        n = len(item.literal)
+        if n:
+            if item.width not in self.literal:
+                hashed = _literal(self.plain, item.width)
+                order = np.argsort(hashed, kind="stable")
+                self.literal[item.width] = order, hashed[order]
+            place, inner = _hits(*self.literal[item.width], np.arange(n), item.literal)
+            have = [len(np.unique(inner[s])) for s in _spans(place, inner, reach, _least(n))]
+            if have:
+                return max(have) / n, "exact", 0
+        return None
+
+    def _consistent(self, item: Item, inner: np.ndarray, place: np.ndarray) -> tuple[bool, int]:
+        """Whether each slot value of the item stands for one value of the document, and how many differ from the item's.
+
+        A window that the document has more than once is read where most windows of the item lie beside it.
+        """
+        shift = Counter((place - inner).tolist())
+        best: dict[int, int] = {}
+        for i, p in zip(inner.tolist(), place.tolist(), strict=True):
+            if i not in best or shift[p - i] > shift[best[i] - i]:
+                best[i] = p
+        values: dict[str, Counter] = defaultdict(Counter)
+        seen = set()
+        for i, p in sorted(best.items()):
+            for j in range(WINDOW):
+                if item.slot[i + j] and i + j not in seen:
+                    seen.add(i + j)
+                    values[item.words[i + j]][self.word(p + j)] += 1
+        total = sum(sum(c.values()) for c in values.values())
+        agreed = sum(max(c.values()) for c in values.values())
+        return agreed >= CONSISTENT * total, sum(1 for v, c in values.items() if min(c, key=lambda x: (-c[x], x)) != v)
+
+
+def _least(n: int) -> int:
+    """The least number of windows that is CONTAINMENT of ``n``."""
+    return next(k for k in range(int(n * CONTAINMENT), n + 1) if k >= CONTAINMENT * n)
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, key: str) -> DataFrame:
+    """The leaks with the key of their row's text, a row for each row of ``docs``."""
+    items, windows = item_windows(benchmark)
+    windows = written(windows, "benchmark-windows")
+    rarest = written(_rarest(windows), "benchmark-rarest")
+    pairs = written(candidates(docs, key, rarest), "benchmark-candidates")
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("item")) - 1
+    some = pairs.withColumn("some", F.floor(nth / ITEMS_AT_ONCE)).join(items, "item")
+    beside = some.groupBy("key", "some").agg(F.collect_list(F.struct("item_id", F.col("text").alias("item_text"))).alias("items")).withColumnRenamed("key", key).drop("some")
+    met = docs.select("doc_id", key, "text").join(beside, key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            rows: list[tuple] = []
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                text = _Text(row["text"] or "")
+                rows += [(row["doc_id"], row[key], x["item_id"], *told) for x in row["items"] if (told := text.leak(_item(x["item_text"]))) is not None]
+            columns = zip(*rows) if rows else [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "key", "item_id", "containment", "kind", "changed"])
+
+    return met.mapInArrow(run, "doc_id long, key long, item_id long, containment double, kind string, changed long")
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    key = fresh(docs, "text_key")
+    return docs.withColumn(key, F.xxhash64("doc_id", "text")), key
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, containment, kind and changed (slot values that differ) of every leak.
 
     Null and empty texts and items match nothing; an item shorter than five words matches where it stands whole. Repeated rows each give
-    their own leaks. An empty benchmark finds none.
+    their own leaks. Items of one text are one item, that with the least item_id. An empty benchmark finds none.
     """
-    spark, schema = docs.sparkSession, "doc_id long, item_id long, containment double, kind string, changed long"
-    all_found = None
-    for block in blocks(benchmark):
-        shipped = spark.sparkContext.broadcast(block)
+    return _leaks(*_readable(docs, benchmark)).drop("key")
 
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            own = shipped.value
-            for batch in slices(batches, "text"):
-                rows = _found(own, batch.column("text"))
-                names = batch.column("doc_id").to_pylist()
-                columns = [[names[r[0]] for r in rows], [own.item_ids[r[1]] for r in rows], [r[2] for r in rows], [r[3] for r in rows], [r[4] for r in rows]]
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "containment", "kind", "changed"])
 
-        found = docs.select("doc_id", "text").mapInArrow(run, schema)
-        all_found = found if all_found is None else all_found.unionByName(found)
-    return spark.createDataFrame([], schema) if all_found is None else all_found
+def _readable(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    keyed, key = _keyed(docs.select("doc_id", "text"))
+    return keyed, benchmark.select("item_id", "text"), key
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a leak, with all their columns."""
-    spark = docs.sparkSession
-    for block in blocks(benchmark):
-        shipped = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "text"):
-                keep = np.ones(batch.num_rows, bool)
-                keep[[r[0] for r in _found(shipped.value, batch.column("text"))]] = False
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    found = written(_leaks(*_readable(docs, benchmark)).select("key").distinct(), "leaking")
+    keyed, key = _keyed(docs)
+    return keyed.join(found.withColumnRenamed("key", key), key, "left_anti").select(docs.columns)
