@@ -11,7 +11,7 @@ from loomgrain.kernels.markdown import markdown
 from loomgrain.kernels.select import BadSelector, compiled
 from loomgrain.kernels.tree import load
 from loomgrain.kernels.visible import guesses, person
-from loomgrain.sources.archives import records
+from loomgrain.sources.archives import _streams, records
 from loomgrain.sources.robots import _robots, _tdm
 from loomgrain.sources.sitemaps import feed, sitemap
 
@@ -117,6 +117,21 @@ def _record(kind, body, mime="application/http; msgtype=response", uri="https://
     return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Target-URI: {uri}\r\nContent-Type: {mime}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
 
 
+class Held:
+    """Bytes that are read as a file."""
+
+    def __init__(self, data):
+        self.data = data
+
+    def read(self, at, n):
+        return self.data[at : at + n]
+
+
+def archived(data, size=None, largest=16 << 20):
+    size = size or max(1, len(data))
+    return [r for start in range(0, max(1, len(data)), size) for _, stream in _streams(Held(data), start, min(len(data), start + size)) for r in records(stream, largest)]
+
+
 def test_archives():
     chunked = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip\r\n\r\n"
     packed = gzip.compress("é".encode())
@@ -124,10 +139,30 @@ def test_archives():
     data = _record("warcinfo", b"x") + _record("response", chunked) + _record("response", b"HTTP/1.1 404 No\r\n\r\n") + _record("response", b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\n\r\nx") + _record("resource", b"<p>", "text/html")
     want = ["type-warcinfo", "é", "status", "not-html", "<p>"]
     for body in (data, gzip.compress(data), b"".join(map(gzip.compress, [data[:50], data[50:]]))):
-        assert [r.get("skipped") or r["html"] for r in records(body)] == want
-    assert [r.get("skipped") for r in records(gzip.compress(data)[:-20])][-1] == "broken"
+        assert [r.get("skipped") or r["html"] for r in archived(body)] == want
+    assert [r.get("skipped") for r in archived(gzip.compress(data)[:-20])][-1] == "broken"
     deflated = zlib.compress(b"d")[2:-4]
-    assert next(records(_record("response", b"HTTP/1.1 200 OK\r\nContent-Encoding: deflate\r\n\r\n" + deflated)))["html"] == "d"
+    assert archived(_record("response", b"HTTP/1.1 200 OK\r\nContent-Encoding: deflate\r\n\r\n" + deflated))[0]["html"] == "d"
+
+
+def test_archives_by_any_range():
+    """Members that hold the magic and other archives' members; stored, so that the bytes stand in the file as they are."""
+    import random
+
+    rnd = random.Random(1)
+    inner = gzip.compress(b"no record") + b"\x1f\x8b\x08\x1f\x1f\x8b\x08"
+    bodies = [b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + (inner if k % 3 == 0 else rnd.randbytes(rnd.randrange(300))) + b"<p>%d" % k for k in range(40)]
+    stored = zlib.compressobj(0, zlib.DEFLATED, 31)
+    data = gzip.compress(b"") + b"".join(gzip.compress(_record("response", b), 0) for b in bodies) + stored.flush()
+    whole = [r["html"].rpartition("<p>")[2] for r in archived(data)]
+    assert whole == [str(k) for k in range(40)]
+    for size in (1, 7, 100, 1000):
+        assert [r["html"].rpartition("<p>")[2] for r in archived(data, size)] == whole
+    # longer bodies than asked for give a row that says so, from plain and from packed archives
+    long = _record("response", b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + b"x" * 200_000) + _record("resource", b"<p>", "text/html")
+    for body in (long, gzip.compress(long)):
+        assert [r.get("skipped") or r["html"] for r in archived(body, largest=1000)] == ["too-large", "<p>"]
+        assert len(archived(body, largest=None)[0]["html"]) == 200_000
 
 
 @settings(max_examples=150, deadline=None)
@@ -146,5 +181,6 @@ def test_bytes_never_raise(data):
     encoded.decoded(data, "x")
     sitemap(data)
     feed(data, None)
-    list(records(data))
-    list(records(_record("response", data)))
+    archived(data)
+    archived(_record("response", data))
+    archived(gzip.compress(_record("response", data)), 40)

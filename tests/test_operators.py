@@ -113,3 +113,10 @@ def test_archives_from_files(spark, tmp_path):
     found = archives.read(spark, f"file://{tmp_path}/*.warc")
     assert [r["html"] for r in found.where("html is not null").collect()] == ["<title>t</title>"]
     assert {(r["reason"], r["n"]) for r in archives.skipped(found).collect()} == {("type-request", 1)}
+    import gzip
+
+    members = b"".join(gzip.compress(head.replace(b"https://x/", b"https://x/%05d" % k).replace(b"Type: response", b"Type: response") + body + b"\r\n\r\n") for k in range(200))
+    (tmp_path / "b.warc.gz").write_bytes(members)
+    for size in (1000, 1 << 20):
+        rows = archives.read(spark, f"file://{tmp_path}/*.warc.gz", size=size).collect()
+        assert sorted(r["url"] for r in rows) == [f"https://x/{k:05d}" for k in range(200)] and {r["html"] for r in rows} == {"<title>t</title>"}
