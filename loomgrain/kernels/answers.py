@@ -6,6 +6,7 @@ import html as entities
 import math
 import re
 from collections import Counter
+from decimal import Decimal
 from typing import Any
 
 QUESTIONS = (
@@ -86,15 +87,109 @@ def subject(records: list[Record], names: set[str]) -> Record | None:
     return best
 
 
+def twins(about: Record | None, records: list[Record]) -> list[Record]:
+    """Other records of the subject's types and name, where a listing's worth of them stand on the page: one thing told of once a colour or size."""
+    name = _said(about, "name", text_of)
+    found = [r for r in records if r is not about and about is not None and set(r["types"]) == set(about["types"]) and _said(r, "name", text_of) == name]
+    return found if name is not None and len(found) + 1 >= _LISTING else []
+
+
+def members(about: Record | None, records: list[Record]) -> list[Record]:
+    """The variants of a group of products: those it lists, or else the records that name it by its id, or by its name."""
+    if about is None:
+        return []
+    listed_in, thing = about["fields"].get("hasVariant"), (about["types"] or ["Thing"])[0]
+    if listed_in and listed_in[1] in THINGS:
+        value, source = listed_in
+        path = f"{thing}.hasVariant[{{}}]" if isinstance(value, list) else f"{thing}.hasVariant"
+        return [{"types": [path.format(k)], "source": source, "fields": {n: (v, source) for n, v in x.items() if not n.startswith("@")}} for k, x in enumerate(listed(value)) if isinstance(x, dict)]
+    if "ProductGroup" not in about["types"]:
+        return []
+    group, name = _said(about, "productGroupID", text_of), _said(about, "name", text_of)
+
+    def of_it(r: Record) -> bool:
+        own = _said(r, "inProductGroupWithID", text_of)
+        parent = r["fields"].get("isVariantOf")
+        if group is not None and own is not None:
+            return own == group
+        if not parent or parent[1] not in THINGS:
+            return False
+        if not isinstance(parent[0], dict):
+            return group is not None and text_of(parent[0]) == group
+        if group is not None and "productGroupID" in parent[0]:
+            return text_of(parent[0]["productGroupID"]) == group
+        return name is not None and text_of(parent[0].get("name")) == name
+
+    return [r for r in records if r is not about and of_it(r)]
+
+
+def _said(record: Record | None, key: str, read) -> str | None:
+    held = record["fields"].get(key) if record else None
+    return read(held[0]) if held and held[1] in THINGS else None
+
+
+def _priced(record: Record) -> dict[str, tuple[str, str]]:
+    """prices() of a record, with the thing in each path."""
+    held = record["fields"].get("offers")
+    thing = record["types"][0] if record["types"] else "Thing"
+    return {q: (v, f"{thing}.{at}") for q, (v, at) in prices(held[0]).items()} if held and held[1] in THINGS else {}
+
+
+_MONEY = ("price", "price_regular", "price_low", "price_high", "currency", "availability")
+
+
+def _shared(answers: list[dict[str, tuple[str, str]]]) -> dict[str, tuple[str, str]]:
+    """The first's answers that all of them give."""
+    return {q: answers[0][q] for q in _MONEY if answers and q in answers[0] and all(q in a and a[q][0] == answers[0][q][0] for a in answers)}
+
+
+def _plain_amount(text: str) -> Decimal | None:
+    """The number of a text that holds one; a separator before three digits at the end is a decimal point only if another kind stands before it."""
+    found = _NUMBER.findall(text)
+    if len(found) != 1:
+        return None
+    number = re.sub(r"[\s']", "", found[0])
+    last = max(number.rfind("."), number.rfind(","))
+    if last >= 0:
+        sign, tail = number[last], number[last + 1 :]
+        other = "," if sign == "." else "."
+        grouped = number.count(sign) > 1 or (sign == "," and len(tail) == 3 and other not in number)
+        number = re.sub("[.,]", "", number) if grouped else re.sub("[.,]", "", number[:last]) + "." + tail
+    try:
+        return Decimal(number)
+    except ArithmeticError:
+        return None
+
+
+def _across(each: list[dict[str, tuple[str, str]]]) -> dict[str, tuple[str, str]]:
+    """What variants say together: what all say alike; of prices that differ the range, if they are amounts of one currency."""
+    out = _shared(each)
+    sold = [a for a in each if "price" in a]
+    currencies = {a["currency"][0] if "currency" in a else None for a in sold}
+    if len(currencies) == 1 and "currency" in sold[0]:
+        out.setdefault("currency", sold[0]["currency"])
+    for q in ("price_low", "price_high"):
+        out.pop(q, None)
+    if "price" not in out:
+        out.pop("price_regular", None)
+        amounts = [(_plain_amount(one_number(a["price"][0]) or ""), k) for k, a in enumerate(sold)]
+        if len(sold) > 1 and len(currencies) == 1 and all(n is not None for n, _ in amounts):
+            out["price_low"] = sold[min(amounts)[1]]["price"]
+            out["price_high"] = sold[max(amounts, key=lambda x: (x[0], -x[1]))[1]]["price"]
+        else:
+            out.pop("currency", None)
+    return out
+
+
 def _offers(value: Any, path: str) -> list[tuple[dict, str]]:
     found: list[tuple[dict, str]] = []
     for k, item in enumerate(value if isinstance(value, list) else [value]):
-        if isinstance(item, dict) and len(found) < 100:
+        if isinstance(item, dict):
             here = f"{path}[{k}]" if isinstance(value, list) else path
             found.append((item, here))
             if "offers" in item:
                 found += _offers(item["offers"], f"{here}.offers")
-    return found[:100]
+    return found
 
 
 def _kind(spec: dict) -> str:
@@ -206,7 +301,18 @@ def candidates(page: dict[str, Any], records: list[Record], doc: dict[tuple[str,
     names = {v.casefold() for q, _, v, _, _ in out if q == "site_name"} | host(page["url"])
     publishers = {t.casefold() for r in records if any(x in _SITE or x.endswith("Organization") for x in r["types"]) and "name" in r["fields"] and (t := text_of(r["fields"]["name"][0]))}
     about = subject(records, names | publishers)
-    own = lambda q, k, read=text_of: of(about, q, k, read)
+    others, variants = twins(about, records), members(about, records)
+
+    def own(q: str, k: str, read=text_of) -> None:
+        said = _said(about, k, read)
+        if said is None and variants:
+            answers = {_said(v, k, read) for v in variants}
+            of(variants[0] if len(answers) == 1 else None, q, k, read)
+        elif any(_said(x, k, read) != said for x in others):
+            of(None, q, k, read)  # it is one variant's, and not the thing's
+        else:
+            of(about, q, k, read)
+
 
     headline = (doc.get(("opengraph", "title")) or page["title"] or "").casefold()
     order = ("headline", "name")
@@ -262,16 +368,21 @@ def candidates(page: dict[str, Any], records: list[Record], doc: dict[tuple[str,
     meta("type", "opengraph", "type")
 
     held = about["fields"].get("offers") if about else None
-    priced = prices(held[0]) if held and held[1] in THINGS else {}
+    priced = _priced(about) if about else {}
+    if others:
+        common = _shared([priced, *map(_priced, others)])
+        priced = {q: v for q, v in priced.items() if q in common}
+    if held is None and variants:
+        priced, held = _across([_priced(v) for v in variants]), (None, variants[0]["source"])
     thing = about["types"][0] if about and about["types"] else "Thing"
     for q in ("price", "price_regular", "price_low", "price_high"):
         said = priced.get(q)
-        add(q, one_number(said[0]) if said else None, held[1] if held else "", f"{thing}.{said[1]}" if said else "")
+        add(q, one_number(said[0]) if said else None, held[1] if held else "", said[1] if said else "")
     for k in ("price:amount", "product:price:amount"):
         meta("price", "opengraph", k, one_number)
     for q, keys in (("currency", ("price:currency", "product:price:currency")), ("availability", ("availability", "product:availability"))):
         said = priced.get(q)
-        add(q, (short(said[0]) if q == "availability" else said[0]) if said else None, held[1] if held else "", f"{thing}.{said[1]}" if said else "")
+        add(q, (short(said[0]) if q == "availability" else said[0]) if said else None, held[1] if held else "", said[1] if said else "")
         for k in keys:
             meta(q, "opengraph", k, short if q == "availability" else (lambda t: t))
     own("brand", "brand", names_of)

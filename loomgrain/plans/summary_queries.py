@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrain.functions import scalars
@@ -165,3 +165,60 @@ def page_table_csv_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id") % 3
     cell = F.when(k == 0, F.concat(F.lit("="), F.col("event_type"))).when(k == 1, F.round(-F.col("value"), 2).cast("string")).otherwise(F.col("event_type"))
     return e.select("event_id", scalars.formula_safe(cell).alias("cell"))
+
+
+_VARIANT = """{"@type":"Product","name":"{{name}}","sku":"P{{key}}-%d","brand":{"@type":"Brand","name":"{{brand}}"},"offers":{"@type":"Offer","price":"{{price%d}}","priceCurrency":"USD","availability":"https://schema.org/InStock"}%s}"""
+
+
+def _three_prices() -> dict[str, Column]:
+    """Three prices of which every fourth part's are the same."""
+    price = F.col("p_retailprice").cast("decimal(12,2)")
+    more = F.when(F.col("p_partkey") % 4 == 0, 0).otherwise(1)
+    return {f"price{k}": (price + k * more).cast("decimal(12,2)").cast("string") for k in range(3)}
+
+
+def _of_variants(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
+    p = spread(table(spark, sf_dir, "part"))
+    html = rendered.filled(f'<html><head><script type="application/ld+json">{template}</script></head></html>', key=F.col("p_partkey").cast("string"), name=F.col("p_name"), brand=F.col("p_brand"), **_three_prices())
+    pages = p.select(F.col("p_partkey").alias("page_id"), F.lit("https://x.example/").alias("url"), html.alias("html"))
+    return extract.summary_long(extract.extract(pages))
+
+
+_SAME = "p_partkey % 4 = 0"
+_ASKED = "question in ('title', 'brand', 'sku', 'price', 'price_low', 'price_high', 'currency', 'availability')"
+
+
+@register(
+    "summary_variants",
+    f"""select p_partkey as page_id, unnest(['title', 'brand', 'currency', 'availability']) as question, unnest([p_name, p_brand, 'USD', 'InStock']) as value from part
+ union all select p_partkey, 'price', {_MONEY} from part where {_SAME}""",
+)
+def summary_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One thing declared once a size: what the declarations don't share is no answer of the page."""
+    each = ",".join(_VARIANT % (k, k, "") for k in range(3))
+    found = _of_variants(spark, sf_dir, f'{{"@context":"https://schema.org","@graph":[{each}]}}')
+    return found.where(_ASKED).select("page_id", "question", "value")
+
+
+_LATER = "cast(cast(p_retailprice + 2 as decimal(12,2)) as varchar)"
+_GROUP_SQL = f"""select p_partkey as page_id, unnest(['title', 'brand', 'currency', 'availability']) as question, unnest([p_name || ' all', p_brand, 'USD', 'InStock']) as value,
+ unnest(['ProductGroup.name', '{{0}}brand', '{{0}}offers.priceCurrency', '{{0}}offers.availability']) as key from part
+ union all select p_partkey, 'price', {_MONEY}, '{{0}}offers.price' from part where {_SAME}
+ union all select p_partkey, unnest(['price_low', 'price_high']), unnest([{_MONEY}, {_LATER}]), unnest(['{{0}}offers.price', '{{2}}offers.price']) from part where not {_SAME}"""
+
+
+@register("summary_group_range", _GROUP_SQL.replace("{0}", "ProductGroup.hasVariant[0].").replace("{2}", "ProductGroup.hasVariant[2]."))
+def summary_group_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A group that lists its variants: what all say, and the range of what they ask, with the places where both ends stand."""
+    each = ",".join(_VARIANT % (k, k, "") for k in range(3))
+    found = _of_variants(spark, sf_dir, f'{{"@context":"https://schema.org","@type":"ProductGroup","name":"{{{{name}}}} all","productGroupID":"G{{{{key}}}}","hasVariant":[{each}]}}')
+    return found.where(_ASKED).select("page_id", "question", "value", "key")
+
+
+@register("summary_group_members", _GROUP_SQL.replace("{0}", "Product.").replace("{2}", "Product."))
+def summary_group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where each variant is a record of its own that names its group."""
+    points = (',"inProductGroupWithID":"G{{key}}"', ',"isVariantOf":{"@type":"ProductGroup","productGroupID":"G{{key}}"}', ',"isVariantOf":{"@type":"ProductGroup","name":"{{name}} all"}')
+    each = ",".join(_VARIANT % (k, k, p) for k, p in enumerate(points))
+    found = _of_variants(spark, sf_dir, f'{{"@context":"https://schema.org","@graph":[{{"@type":"ProductGroup","name":"{{{{name}}}} all","productGroupID":"G{{{{key}}}}"}},{each}]}}')
+    return found.where(_ASKED).select("page_id", "question", "value", "key")
