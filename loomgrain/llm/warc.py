@@ -3,10 +3,10 @@
 Each record is a gzip member of its own. Archives are written through Spark's text sink, whose line end is
 the last byte of every member, so they are committed by task and go to any file system that Spark writes.
 
-The reader has Spark's text source cut each byte range at the gzip magic; a task thereby owns what starts inside its
-range. A cut may also lie inside a compressed member, so a candidate counts as a record only if its header decodes to the
-begin of a WARC record; the other pieces continue the member before them. Pieces that continue a member of the range
-before are stitched in a second pass by file and place, which sees nothing else.
+The reader's tasks scan byte ranges for the gzip magic, take candidates whose header decodes to the begin of a WARC record, own
+those that begin in their range and read each to its end (loomgrain.sources.ranges). In a store that only Spark reads, Spark's text
+source cuts the ranges at the magic instead; a cut may also lie inside a compressed member, so pieces that don't decode so continue the
+member before them, and what continues a member of the range before is stitched in a second pass by file and place.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrain.llm.shared import scratch_path
+from loomgrain.sources import ranges
 
 MAGIC = b"\x1f\x8b\x08"
 #: The size field ends a member; its last byte is zero below 16 MiB, and behind larger records an empty member follows.
@@ -207,12 +208,35 @@ def _rows(records: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, schema=_FIELDS)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record of the archives under ``path``, whose members are gzip and whose names don't end in .gz.
+def read(spark: SparkSession, path: str, size: int = ranges.RANGE) -> DataFrame:
+    """A row for each record of the archives under ``path``, whose members are gzip; ``size``: bytes of a range.
 
     record_type, record_id, target_uri, refers_to, payload_digest, headers and payload (of an HTTP record its body). Broken
     members give no row. Names without archives raise as every reader of Spark does.
     """
+    if not ranges.opens(path):
+        return _read_by_spark(spark, path)
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+        for batch in batches:
+            for file, start, stop in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                opened = ranges.Opened(file)
+                for _, content in ranges.members(opened, start, stop, b"WARC/"):
+                    try:
+                        raw = content.read()
+                    except (EOFError, zlib.error):
+                        continue
+                    if raw:
+                        yield raw
+                opened.close()
+
+    return ranges.cut(spark, path, size).mapInArrow(lambda batches: _rows(records(batches)), _RECORD)
+
+
+def _read_by_spark(spark: SparkSession, path: str) -> DataFrame:
+    """As read(), through Spark's text source; it would inflate files that end in .gz, so those raise."""
+    if not spark.read.format("binaryFile").load(path).select("path").where(F.lower("path").endswith(".gz")).isEmpty():
+        raise ValueError("archives that end in .gz are read only where pyarrow has a file system for their path")
 
     def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _rows(record for _, pieces in _by_range(batches) for record in _stitched(pieces, None))
@@ -237,12 +261,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return pieces.mapInArrow(owned, _RECORD).unionByName(loose.mapInArrow(joined, _RECORD))
 
 
-def digest(spark: SparkSession, path: str) -> DataFrame:
+def digest(spark: SparkSession, path: str, found: DataFrame | None = None) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of the records that write() made.
 
-    A response's figures are those of the payload read back, a revisit's are those in its header.
+    ``found``: the records as read() gives them, where they were read already. A response's figures are those of the payload read back, a revisit's are those in its header.
     """
-    found = read(spark, path)
+    found = read(spark, path) if found is None else found
     kept = F.col("record_type") == "response"
     page = lambda c: F.expr(f"try_cast(substr({c}, {len(_PAGE) + 1}) as bigint)")
 
@@ -268,3 +292,16 @@ def round_trip(pages: DataFrame) -> DataFrame:
     into = scratch_path(pages.sparkSession, "warc")
     write(pages, into)
     return digest(pages.sparkSession, into)
+
+
+#: The query in DuckDB's SQL; 32 letters of five bits each spell a SHA-1.
+SQL = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+f as (select h, min(page_id) as least, rpad(cast(cast(unhex(sha1(h)) as bit) as varchar), 160, '0') as bits from p group by h),
+t as (
+  select page_id, strlen(h) as payload_bytes, least,
+    array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[cast(1 + list_sum(list_transform(range(0, 5), lambda j: cast(bits[5 * i + j + 1] as int) * (16 >> j))) as bigint)]), '') as payload_digest
+  from p join f using (h))
+select page_id, payload_bytes, payload_digest, case when least is distinct from page_id and least is not null then 'revisit' else 'response' end as record_type,
+  case when least is distinct from page_id then least end as refers_to
+from t"""

@@ -50,7 +50,8 @@ def test_any_split_gives_the_same_records(spark):
         spark.conf.set("spark.sql.files.openCostInBytes", "1")
         for size in ("777", "5000", "100000000"):
             spark.conf.set("spark.sql.files.maxPartitionBytes", size)
-            assert sorted(map(tuple, warc.digest(spark, into).collect()), key=str) == want(rows)
+            assert sorted(map(tuple, warc.digest(spark, into, warc._read_by_spark(spark, into)).collect()), key=str) == want(rows)
+            assert sorted(map(tuple, warc.digest(spark, into, warc.read(spark, into, int(size))).collect()), key=str) == want(rows)
     finally:
         for k, v in keep.items():
             spark.conf.set(k, v)
@@ -90,3 +91,26 @@ def test_broken_members_are_left_out(spark):
     good = [warc._gzip(warc.record(k, "http://x", b"payload %d" % k, None)) + b"\x00" for k in range(3)]
     pieces = [good[0], good[1][:40], good[2]]
     assert len(list(warc._stitched(iter(pieces), None))) >= 1
+
+
+def test_names_that_end_in_gz(spark, tmp_path):
+    import pytest
+
+    data = b"".join(warc._gzip(warc.record(k, "http://x", b"payload %d" % k, None)) + b"\x00" for k in range(50))
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    (tmp_path / "b.warc.gz").write_bytes(data[: len(data) // 2])
+    for size in (100, 1 << 20):
+        got = [bytes(r["payload"]) for r in warc.read(spark, f"file://{tmp_path}/*.gz", size).collect()]
+        assert sorted(set(got)) == sorted(b"payload %d" % k for k in range(50)) and 70 <= len(got) <= 75
+    with pytest.raises(ValueError, match="gz"):
+        warc._read_by_spark(spark, f"file://{tmp_path}/*.gz")
+
+
+def test_the_sql_twin(spark, tmp_path):
+    import duckdb
+
+    frame(spark, ROWS).write.parquet(f"{tmp_path}/pages")
+    told = duckdb.connect()
+    told.sql(f"create view pages as select * from '{tmp_path}/pages/*.parquet'")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert sorted(told.sql(warc.SQL).select(*columns).fetchall(), key=str) == want(ROWS)
