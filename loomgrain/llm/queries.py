@@ -66,4 +66,4 @@ QUERIES: dict[str, Query] = {
     "op10_bpe": op10_bpe,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_warc": warc.SQL, "op9_secret_scan": secret_scan.SQL}
