@@ -41,6 +41,8 @@ SPREAD = 2
 FILTER_BITS = 26
 #: Items that are read beside a document's text at once.
 ITEMS_AT_ONCE = 256
+#: Distinct words that a worker remembers; beyond them it begins anew.
+REMEMBERED = 1_000_000
 
 UNITS = frozenset(
     "mm cm m km in ft yd mi mg g kg t lb lbs oz ml cl l s sec secs min mins h hr hrs ms hz khz mhz ghz w kw mw v a ma kb mb gb tb bit bits byte bytes"
@@ -50,25 +52,50 @@ UNITS = frozenset(
 )
 _NUMBER = regex.compile(r"[-+]?[\p{Sc}]?\p{Nd}[\p{Nd}.,:/'’]*(?:[\p{Sc}%‰°]|\p{L}{1,3})?")
 _EDGES = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
+_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz")
 _SENTENCE = regex.compile(r"[.!?:][^\p{L}\p{N}]*$")
 NUM, NAME, UNIT = (xxhash.xxh64_intdigest(f"<{x}>", 1) for x in ("num", "name", "unit"))
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WINDOW)], np.uint64)
 
 
-def _read(word: str) -> tuple[int, int, int]:
+def _read(word: str, bare: str) -> tuple[int, int, int]:
     """The template hash of a word, whether it could be a name (1) or is another slot (2), and whether a sentence ends behind it."""
-    ends = _SENTENCE.search(word) is not None
-    bare = _EDGES.sub("", word)
+    ends = word[-1:] not in _LETTERS and _SENTENCE.search(word) is not None
     low = bare.lower()
-    if bare and _NUMBER.fullmatch(bare):
+    if bare and not bare.isalpha() and _NUMBER.fullmatch(bare):
         return NUM, 2, ends
     if low in UNITS:
         return UNIT, 2, ends
     return xxhash.xxh64_intdigest(low, 0), int(bare[:1].isupper()), ends
 
 
-def _templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """Offsets of the words of each text, template hashes, slot marks, codes of the words, and the distinct words."""
+class _Told:
+    """What is read of each distinct word, remembered by a worker: template hash, kind, sentence end, literal hash, and whether it has a sign of its own."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+        self.columns = [np.zeros(0, kind) for kind in (np.uint64, np.int8, bool, np.uint64, bool)]
+
+    def of(self, words: list[str]) -> list[np.ndarray]:
+        if len(self.known) > REMEMBERED:
+            self.__init__()
+        new = [w for w in words if w not in self.known]
+        if new:
+            self.known |= {w: k for k, w in enumerate(new, len(self.known))}
+            rows = []
+            for w in new:
+                bare = _bare(w)
+                rows.append((*_read(w, bare), xxhash.xxh64_intdigest(bare.casefold(), 2), bool(bare)))
+            self.columns = [np.concatenate([have, np.array(more, have.dtype)]) for have, more in zip(self.columns, zip(*rows), strict=True)]
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        return [c[at] for c in self.columns]
+
+
+_TOLD = _Told()
+
+
+def _templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Offsets of the words of each text, their template hashes, slot marks, literal hashes and codes, and the distinct words."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     lists = pc.utf8_split_whitespace(column.fill_null("").cast(pa.large_string()))
@@ -76,20 +103,17 @@ def _templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     coded = flat.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).dictionary_encode()
     codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
     offsets = offsets - offsets[0]
-    signs = np.fromiter((bool(_bare(w)) for w in words), bool, len(words))
-    solid = signs[codes] if len(codes) else np.zeros(0, bool)
-    kept = np.concatenate(([0], np.cumsum(solid)))
-    offsets, codes = kept[offsets], codes[solid]
-    told = [_read(w) for w in words]
-    hashes = np.fromiter((x[0] for x in told), np.uint64, len(told))
-    kind = np.fromiter((x[1] for x in told), np.int8, len(told))
-    ends = np.fromiter((x[2] for x in told), bool, len(told))
+    hashes, kind, ends, plain, solid = _TOLD.of(words)
+    held = solid[codes] if len(codes) else np.zeros(0, bool)
+    kept = np.concatenate(([0], np.cumsum(held)))
+    offsets, codes = kept[offsets], codes[held]
     begins = np.ones(len(codes), bool)  # at the begin of a sentence a capital makes no name
     begins[1:] = ends[codes[:-1]]
     begins[offsets[:-1][offsets[:-1] < len(codes)]] = True
-    slot = (kind[codes] == 2) | ((kind[codes] == 1) & ~begins)
-    template = np.where(slot & (kind[codes] == 1), np.uint64(NAME), hashes[codes])
-    return offsets, template, slot, codes, words
+    kinds = kind[codes]
+    name = (kinds == 1) & ~begins
+    template = np.where(name, np.uint64(NAME), hashes[codes])
+    return offsets, template, name | (kinds == 2), plain[codes], codes, words
 
 
 def _bare(word: str) -> str:
@@ -120,16 +144,11 @@ def _literal(plain: np.ndarray, width: int = WINDOW) -> np.ndarray:
     return hashed * np.uint64(0xD6E8FEB86659FD93)
 
 
-def _plain(words: list[str]) -> np.ndarray:
-    """The hash of each word without case and the signs around it."""
-    return np.fromiter((xxhash.xxh64_intdigest(_bare(w).casefold(), 2) for w in words), np.uint64, len(words))
-
-
 class Item:
     """An item's words, template windows and literal windows: (place, hash) of each."""
 
     def __init__(self, text: str) -> None:
-        _, template, slot, codes, words = _templates(pa.array([text], pa.string()))
+        _, template, slot, plain, codes, words = _templates(pa.array([text], pa.string()))
         self.words, self.slot = [_bare(words[c]).lower() for c in codes.tolist()], slot
         own, good = _windows(template, slot)
         places = np.flatnonzero(good)
@@ -144,7 +163,7 @@ class Item:
                 places, hashes, self.needed = np.append(places, 0), np.append(hashes, other), self.needed + (0 not in places)
         self.places, self.hashes = places, hashes
         self.width = min(WINDOW, len(codes))
-        self.literal = _literal(_plain(words)[codes], self.width) if self.width else np.zeros(0, np.uint64)
+        self.literal = _literal(plain, self.width) if self.width else np.zeros(0, np.uint64)
 
 
 @lru_cache(maxsize=4096)
@@ -213,9 +232,8 @@ def candidates(docs: DataFrame, key: str, rarest: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shipped.value
         for batch in slices(batches, "text"):
-            offsets, template, slot, codes, words = _templates(batch.column("text"))
+            offsets, template, slot, plain, _, _ = _templates(batch.column("text"))
             doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-            plain = _plain(words)[codes] if len(codes) else np.zeros(0, np.uint64)
             rows, hashes = [], []
             for width in widths:
                 hashed, good = _windows(template, slot) if width == 0 else (_literal(plain, width), True)
@@ -262,13 +280,11 @@ class _Text:
     """A document's windows, sorted for look-up."""
 
     def __init__(self, text: str) -> None:
-        _, template, slot, codes, words = _templates(pa.array([text], pa.string()))
-        self.codes, self.words = codes, words
+        _, template, slot, self.plain, self.codes, self.words = _templates(pa.array([text], pa.string()))
         hashed, good = _windows(template, slot)
         at = np.flatnonzero(good)
         self.order = at[np.argsort(hashed[at], kind="stable")]
         self.ranked = hashed[self.order]
-        self.plain = _plain(words)[codes] if len(codes) else np.zeros(0, np.uint64)
         self.literal: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def word(self, place: int) -> str:
@@ -335,7 +351,8 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, key: str) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("key").orderBy("item")) - 1
     some = pairs.withColumn("some", F.floor(nth / ITEMS_AT_ONCE)).join(items, "item")
     beside = some.groupBy("key", "some").agg(F.collect_list(F.struct("item_id", F.col("text").alias("item_text"))).alias("items")).withColumnRenamed("key", key).drop("some")
-    met = docs.select("doc_id", key, "text").join(beside, key)
+    # written, so that its size is known and a small one is broadcast: the documents then stay where they are
+    met = docs.select("doc_id", key, "text").join(written(beside, "benchmark-beside"), key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
