@@ -7,8 +7,9 @@ import unicodedata
 from collections import Counter, defaultdict
 from itertools import pairwise
 
-from loomgrain.kernels.tree import Node, squeezed
+from loomgrain.kernels.tree import Node, join, squeezed
 
+#: Elements and roles that are no content, classes of states, prefixes that tell items apart, and those of styling tools.
 _FURNITURE = frozenset("head nav aside footer template dialog".split())
 _ROLES = frozenset("navigation menu menubar complementary contentinfo banner search dialog alertdialog toolbar tablist listbox tree".split())
 _STATES = frozenset("odd even first last alt active selected current".split())
@@ -16,7 +17,9 @@ _ITEM_CLASS = ("is-", "has-", "category-", "tag-", "format-", "status-", "type-"
 _TOOLS = ("css-", "sc-", "jss", "makestyles-", "mui", "chakra-", "emotion-", "svelte-", "astro-", "jsx-", "dcr-")
 _ADDRESS = {"a": "href", "area": "href", "img": "src", "source": "src", "link": "href", "video": "src", "audio": "src", "iframe": "src"}
 _LINK_WORTH = 8
-_GROUPS, _COMPARED = 16, 64
+_GROUPS = 16
+#: Groups that a child is compared with at most; None for all.
+_COMPARED: int | None = None
 
 
 def kind(node: Node) -> str:
@@ -215,9 +218,77 @@ def path_of(node: Node) -> str:
     return ">".join(reversed(steps))
 
 
+_AMOUNT = re.compile(r"(?:[A-Z]{3}|[$€£¥₹])?\s*(\d[\d.,' ]*)\s*(?:[A-Z]{3}|[$€£¥₹%]|[a-zA-Z]{1,3})?")
+_DATE = re.compile(r"\d{4}-\d{2}-\d{2}.*|\d{1,2}\.? \w+ \d{4}|\w+ \d{1,2}, \d{4}")
+
+
+def value_kind(text: str) -> str:
+    return "date" if _DATE.fullmatch(text) else "amount" if _AMOUNT.fullmatch(text) else "address" if re.match(r"https?://|/|\S+@\S+\.\S+$", text) else "text"
+
+
+def facts_of_one_thing(rows: list[dict[str, str]]) -> bool:
+    """Whether rows are labels with values of several kinds: what a page says of one thing, and no list of things."""
+    pairs = [[v for p, v in row.items() if "@" not in p] for row in rows]
+    if len(pairs) < 3 or any(len(x) != 2 for x in pairs):
+        return False
+    labels = [x[0].rstrip(":： ") for x in pairs]
+    if len(set(labels)) < len(labels) or any(len(x) > 40 or any(c.isdigit() for c in x) for x in labels):
+        return False
+    kinds = Counter(value_kind(x[1]) for x in pairs)
+    return len(kinds) > 1 and 3 * max(kinds.values()) <= 2 * len(pairs)
+
+
+def _amount_of(text: str) -> str | None:
+    """The digits of an amount without what parts thousands, if its text is one."""
+    m = _AMOUNT.fullmatch(text)
+    if not m:
+        return None
+    number = re.sub(r"[ ']", "", m[1])
+    whole, _, cents = number.rpartition(max((number.rfind("."), "."), (number.rfind(","), ","))[1])
+    if whole and len(cents) < 3:
+        return (re.sub("[.,]", "", whole).lstrip("0") or "0") + ("." + cents).rstrip("0").rstrip(".")
+    return re.sub("[.,]", "", number).lstrip("0") or "0"
+
+
+def says(value: str, example: str, base: str | None = None) -> bool:
+    """Whether a value says what an example does: the same text, the same amount, or the address that it leads to."""
+    one, other = squeezed(value), squeezed(example)
+    if one == other or (base is not None and join(base, value) == join(base, example)):
+        return True
+    number = _amount_of(one)
+    return number is not None and number == _amount_of(other)
+
+
+def _matched(wanted: dict[str, list[str]]) -> dict[str, str] | None:
+    """A column of its own for each name, by augmenting paths; None where there are too few."""
+    taken: dict[str, str] = {}
+
+    def place(name: str, seen: set[str]) -> bool:
+        for column in wanted[name]:
+            if column not in seen:
+                seen.add(column)
+                if column not in taken or place(taken[column], seen):
+                    taken[column] = name
+                    return True
+        return False
+
+    return {n: c for c, n in taken.items()} if all(place(name, set()) for name in wanted) else None
+
+
+def induce_wanted(tree: Node, examples: dict[str, str], base: str | None, minimum: int = 2) -> tuple[str, str, list[dict[str, str]]]:
+    """As induce(), of the first group in rank that holds every example in a column of its own; columns have the examples' names."""
+    for group in repeating(tree, minimum):
+        rows = records(group)
+        columns = list(dict.fromkeys(c for row in rows for c in row))
+        holding = {n: [c for c in columns if any(c in row and says(row[c], x, base if "@" in c else None) for row in rows)] for n, x in examples.items()}
+        if rows and examples and (chosen := _matched(holding)) is not None:
+            return path_of(group[0].parent), kind(group[0]), [{n: row[c] for n, c in chosen.items() if c in row} for row in rows]
+    return "", "", []
+
+
 def induce(tree: Node, minimum: int = 3) -> tuple[str, str, list[dict[str, str]]]:
-    """(container, member, rows) of the first group in rank that holds facts; empty where there is none."""
+    """(container, member, rows) of the first group in rank that holds facts of several things; empty where there is none."""
     for group in repeating(tree, minimum):
-        if got := records(group):
+        if (got := records(group)) and not facts_of_one_thing(got):
             return path_of(group[0].parent), kind(group[0]), got
     return "", "", []

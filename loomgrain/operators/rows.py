@@ -8,13 +8,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrain.kernels.induced import induce, kind, path_of, records
+from loomgrain.kernels.induced import facts_of_one_thing, induce, induce_wanted, kind, path_of, records
 from loomgrain.kernels.select import compiled
 from loomgrain.kernels.tree import Node, base_of, join, load, squeezed
 
 _CELLS = pa.list_(pa.list_(pa.struct([("path", pa.string()), ("value", pa.string())])))
-_ARROW = pa.schema([("extractor", pa.string()), ("page_id", pa.int64()), ("container", pa.string()), ("member", pa.string()), ("n_members", pa.int32()), ("rows", _CELLS)])
-SCHEMA = "extractor string, page_id long, container string, member string, n_members int, rows array<array<struct<path:string,value:string>>>"
+_ARROW = pa.schema([("extractor", pa.string()), ("page_id", pa.int64()), ("container", pa.string()), ("member", pa.string()), ("n_members", pa.int32()), ("facts", pa.bool_()), ("rows", _CELLS)])
+SCHEMA = "extractor string, page_id long, container string, member string, n_members int, facts boolean, rows array<array<struct<path:string,value:string>>>"
 _STEP = 200
 
 
@@ -31,7 +31,7 @@ def _pages(batches: Iterator[pa.RecordBatch], columns: list[str], one, schema: p
 
 
 def induced(pages: DataFrame, minimum: int = 3) -> DataFrame:
-    """extractor, page_id, container, member, n_members and rows of the listing of every page, as SCHEMA says.
+    """extractor, page_id, container, member, n_members, facts and rows of the listing of every page, as SCHEMA says.
 
     ``extractor`` is a column of ``pages`` beside page_id, url and html. A page that repeats nothing has no rows and a null container.
     """
@@ -39,12 +39,27 @@ def induced(pages: DataFrame, minimum: int = 3) -> DataFrame:
     def one(extractor: str | None, page_id: int | None, url: str | None, html: str | None) -> list[dict]:
         tree = load(html)
         container, member, rows = induce(tree, minimum)
-        return [{"extractor": extractor, "page_id": page_id, "container": container or None, "member": member or None, "n_members": len(rows), "rows": _resolved(tree, url, rows)}]
+        return [{"extractor": extractor, "page_id": page_id, "container": container or None, "member": member or None, "n_members": len(rows), "facts": False, "rows": _resolved(tree, url, rows)}]
 
     columns = ["extractor", "page_id", "url", "html"]
     return pages.select(*columns).mapInArrow(lambda b: _pages(b, columns, one, _ARROW), SCHEMA)
 
 
+def wanted(pages: DataFrame) -> DataFrame:
+    """As induced(), of the first listing that holds every example of the map ``wanted`` (a column of ``pages``) in a column of its own; paths are the examples' names."""
+
+    def one(extractor: str | None, page_id: int | None, url: str | None, html: str | None, examples: list[tuple[str, str]] | None) -> list[dict]:
+        tree = load(html)
+        base = base_of(tree, url)
+        container, member, rows = induce_wanted(tree, dict(examples or []), base)
+        addressed = {n for n, x in examples or [] if any(row.get(n) is not None and row[n] != x and join(base, row[n]) == join(base, x) for row in rows)} | {n for n, x in examples or [] if x.startswith(("/", "http"))}
+        cells = [[{"path": n, "value": join(base, v) if n in addressed else v} for n, v in row.items()] for row in rows]
+        return [{"extractor": extractor, "page_id": page_id, "container": container or None, "member": member or None, "n_members": len(rows), "facts": facts_of_one_thing(rows), "rows": cells}]
+
+    columns = ["extractor", "page_id", "url", "html", "wanted"]
+    return pages.select(*columns).mapInArrow(lambda b: _pages(b, columns, one, _ARROW), SCHEMA)
+
+
 def replayed(pages: DataFrame) -> DataFrame:
     """As induced(), from the place that the columns ``container`` and ``member`` of ``pages`` name; null where a page hasn't it.
 
@@ -57,7 +72,7 @@ def replayed(pages: DataFrame) -> DataFrame:
         wanted = set((member or "").split("."))
         found = [c for c in places[0].children if wanted <= set(kind(c).split(".")) | set((c.get("class") or "").split())] if len(places) == 1 else []
         rows = records(found) if found else []
-        return [{"extractor": extractor, "page_id": page_id, "container": container if len(places) == 1 else None, "member": member, "n_members": len(found), "rows": _resolved(tree, url, rows)}]
+        return [{"extractor": extractor, "page_id": page_id, "container": container if len(places) == 1 else None, "member": member, "n_members": len(found), "facts": facts_of_one_thing(rows), "rows": _resolved(tree, url, rows)}]
 
     columns = ["extractor", "page_id", "url", "html", "container", "member"]
     return pages.select(*columns).mapInArrow(lambda b: _pages(b, columns, one, _ARROW), SCHEMA)
@@ -102,7 +117,7 @@ def selected_rows(pages: DataFrame, rows: str, fields: dict[str, str]) -> DataFr
                     cells[name] = got[0][0]
             if cells:
                 out.append(cells)
-        return [{"extractor": extractor, "page_id": page_id, "container": rows if members else None, "member": rows, "n_members": len(members), "rows": _resolved(tree, url, out)}]
+        return [{"extractor": extractor, "page_id": page_id, "container": rows if members else None, "member": rows, "n_members": len(members), "facts": False, "rows": _resolved(tree, url, out)}]
 
     columns = ["extractor", "page_id", "url", "html"]
     return pages.select(*columns).mapInArrow(lambda b: _pages(b, columns, one, _ARROW), SCHEMA)

@@ -31,7 +31,8 @@ def _listings(spark: SparkSession, sf_dir: str, name_class: str = "name", bal: C
     item = F.concat(F.lit('<li class="row">'), *(cells[x] for x in order.split()), F.lit("<i>"), F.col("c_mktsegment"), F.lit("</i></li>"))
     pages = c.groupBy("page_id").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", item.alias("h")))), lambda x: x["h"])).alias("list"))
     html = F.concat(F.lit('<html><body><nav><ul><li>a<li>b<li>c</ul></nav><div class="page"><ol class="list">'), F.col("list"), F.lit("</ol></div></body></html>"))
-    return pages.select(F.lit("shop").alias("extractor"), "page_id", F.lit("https://shop.example/list").alias("url"), html.alias("html"))
+    # spread again: the aggregate's few bytes end in one partition, and the parse would be one task
+    return spread(pages.select(F.lit("shop").alias("extractor"), "page_id", F.lit("https://shop.example/list").alias("url"), html.alias("html")))
 
 
 @register(
