@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -14,7 +15,9 @@ from loomgrain.operators import extract
 
 @dataclass(frozen=True)
 class Feature:
-    """A feature's needs of a type: ``a|b`` is either; ``offers>price`` is asked of every value of ``offers`` that is there."""
+    """A feature's needs of a type: ``a|b`` is either; ``offers>price`` is asked of every value of ``offers`` that is there, ``author@Person>url``
+    of those of the type, ``offers>a if b`` of those that have b, ``list>item except last`` of all but a list's last. Subtypes have their types' needs.
+    """
 
     name: str
     types: tuple[str, ...]
@@ -31,13 +34,13 @@ FEATURES = (
     Feature("Merchant listing", ("Product",), ("name", "image", "offers", "offers>price|priceSpecification", "offers>priceCurrency|priceSpecification"), ("brand", "description", "sku|mpn|gtin|gtin8|gtin12|gtin13|gtin14|isbn", "offers>availability", "offers>shippingDetails", "offers>hasMerchantReturnPolicy")),
     Feature("Review snippet", ("Review",), ("author", "itemReviewed", "reviewRating", "reviewRating>ratingValue"), ("datePublished", "reviewRating>bestRating", "reviewRating>worstRating")),
     Feature("Review snippet", ("AggregateRating",), ("itemReviewed", "ratingCount|reviewCount", "ratingValue"), ("bestRating", "worstRating")),
-    Feature("Article", ("Article", "NewsArticle", "BlogPosting"), (), ("headline", "image", "datePublished", "dateModified", "author", "author>name", "author>url")),
-    Feature("Breadcrumb", ("BreadcrumbList",), ("itemListElement", "itemListElement>position", "itemListElement>name|item")),
+    Feature("Article", ("Article", "NewsArticle", "BlogPosting"), (), ("headline", "image", "datePublished", "dateModified", "author", "author>name", "author@Person>url", "author@Organization>url")),
+    Feature("Breadcrumb", ("BreadcrumbList",), ("itemListElement", "itemListElement>position", "itemListElement>name|item", "itemListElement>item except last")),
     Feature("Organization", ("Organization", "Corporation", "OnlineStore"), (), ("name", "url", "logo", "address", "email|telephone", "sameAs")),
-    Feature("Local business", ("LocalBusiness", "Restaurant", "Store", "Hotel"), ("name", "address"), ("geo", "openingHoursSpecification", "priceRange", "telephone", "url", "geo>latitude", "geo>longitude")),
+    Feature("Local business", ("LocalBusiness", "Restaurant", "Store", "Hotel"), ("name", "address"), ("geo", "openingHoursSpecification", "priceRange", "telephone", "url", "geo>latitude if longitude", "geo>longitude if latitude", "openingHoursSpecification>opens if closes", "openingHoursSpecification>closes if opens")),
     Feature("Recipe", ("Recipe",), ("name", "image"), ("author", "cookTime", "datePublished", "description", "nutrition", "prepTime", "recipeCategory", "recipeCuisine", "recipeIngredient", "recipeInstructions", "recipeYield", "totalTime", "video")),
     Feature("Event", ("Event", "MusicEvent", "SportsEvent", "TheaterEvent", "Festival"), ("name", "startDate", "location", "location>name|address"), ("description", "endDate", "eventStatus", "image", "offers", "organizer", "performer")),
-    Feature("Job posting", ("JobPosting",), ("title", "description", "datePosted", "hiringOrganization", "jobLocation|applicantLocationRequirements"), ("baseSalary", "employmentType", "identifier", "validThrough")),
+    Feature("Job posting", ("JobPosting",), ("title", "description", "datePosted", "hiringOrganization", "jobLocation|applicantLocationRequirements"), ("baseSalary", "employmentType", "identifier", "validThrough", "applicantLocationRequirements if jobLocationType")),
     Feature("Video", ("VideoObject",), ("name", "thumbnailUrl", "uploadDate"), ("contentUrl|embedUrl", "description", "duration")),
     Feature("Software app", ("SoftwareApplication", "MobileApplication", "WebApplication"), ("name", "offers", "offers>price", "aggregateRating|review"), ("applicationCategory", "operatingSystem")),
     Feature("Course list", ("Course",), ("name", "description"), ("provider",)),
@@ -57,18 +60,63 @@ FEATURES = (
 )
 
 
+#: Types of schema.org below those that features name, as ``type: subtypes``.
+_SUBTYPES = """
+Article: AdvertiserContentArticle NewsArticle Report SatiricalArticle ScholarlyArticle SocialMediaPosting TechArticle
+NewsArticle: AnalysisNewsArticle AskPublicNewsArticle BackgroundNewsArticle OpinionNewsArticle ReportageNewsArticle ReviewNewsArticle
+SocialMediaPosting: BlogPosting DiscussionForumPosting
+BlogPosting: LiveBlogPosting
+Review: ClaimReview CriticReview EmployerReview MediaReview Recommendation UserReview
+AggregateRating: EmployerAggregateRating
+Product: DietarySupplement Drug IndividualProduct ProductCollection ProductGroup ProductModel SomeProducts Vehicle
+Vehicle: BusOrCoach Car Motorcycle MotorizedBicycle
+Person: Patient
+Organization: Airline Consortium Cooperative Corporation EducationalOrganization FundingScheme GovernmentOrganization LibrarySystem LocalBusiness MedicalOrganization NGO NewsMediaOrganization OnlineBusiness PerformingGroup PoliticalParty Project ResearchOrganization SearchRescueOrganization SportsOrganization WorkersUnion
+OnlineBusiness: OnlineStore
+EducationalOrganization: CollegeOrUniversity ElementarySchool HighSchool MiddleSchool Preschool School
+LocalBusiness: AnimalShelter ArchiveOrganization AutomotiveBusiness ChildCare Dentist DryCleaningOrLaundry EmergencyService EmploymentAgency EntertainmentBusiness FinancialService FoodEstablishment GovernmentOffice HealthAndBeautyBusiness HomeAndConstructionBusiness InternetCafe LegalService Library LodgingBusiness MedicalBusiness ProfessionalService RadioStation RealEstateAgent RecyclingCenter SelfStorage ShoppingCenter SportsActivityLocation Store TelevisionStation TouristInformationCenter TravelAgency
+AutomotiveBusiness: AutoBodyShop AutoDealer AutoPartsStore AutoRental AutoRepair AutoWash GasStation MotorcycleDealer MotorcycleRepair
+FinancialService: AccountingService AutomatedTeller BankOrCreditUnion InsuranceAgency
+FoodEstablishment: Bakery BarOrPub Brewery CafeOrCoffeeShop Distillery FastFoodRestaurant IceCreamShop Restaurant Winery
+HealthAndBeautyBusiness: BeautySalon DaySpa HairSalon HealthClub NailSalon TattooParlor
+HomeAndConstructionBusiness: Electrician GeneralContractor HVACBusiness HousePainter Locksmith MovingCompany Plumber RoofingContractor
+LegalService: Attorney Notary
+LodgingBusiness: BedAndBreakfast Campground Hostel Hotel Motel Resort VacationRental
+Store: BikeStore BookStore ClothingStore ComputerStore ConvenienceStore DepartmentStore ElectronicsStore Florist FurnitureStore GardenStore GroceryStore HardwareStore HobbyShop HomeGoodsStore JewelryStore LiquorStore MensClothingStore MobilePhoneStore MovieRentalStore MusicStore OfficeEquipmentStore OutletStore PawnShop PetStore ShoeStore SportingGoodsStore TireShop ToyStore WholesaleStore
+Event: BusinessEvent ChildrensEvent ComedyEvent CourseInstance DanceEvent DeliveryEvent EducationEvent EventSeries ExhibitionEvent Festival FoodEvent Hackathon LiteraryEvent MusicEvent PublicationEvent SaleEvent ScreeningEvent SocialEvent SportsEvent TheaterEvent VisualArtsEvent
+SoftwareApplication: MobileApplication VideoGame WebApplication
+ImageObject: Barcode ImageObjectSnapshot
+Dataset: DataFeed
+"""
+
+
+def below(root: str) -> tuple[str, ...]:
+    """A type and all below it."""
+    tree = dict(line.split(": ") for line in _SUBTYPES.strip().splitlines())
+    found, stack = {}, [root]
+    while stack:
+        t = stack.pop()
+        if t not in found:
+            found[t] = None
+            stack += tree.get(t, "").split()
+    return tuple(found)
+
+
+_NEED = re.compile(r"(?:(?P<under>\w+)(?:@(?P<of>\w+))?>)?(?P<options>[\w|]+)(?: if (?P<when>\w+))?(?P<last> except last)?")
+
+
 def rules(spark: SparkSession) -> DataFrame:
-    """feature, type, level (required or recommended), under, options of every need, and a row of level ``retired`` for what is no longer shown."""
+    """A row for every need and type, subtypes too: feature, type, level (required, recommended, or ``retired`` for what is no longer shown), under, of (types), options, when and but_last."""
     rows = []
     for f in FEATURES:
-        for t in f.types:
+        for t in dict.fromkeys(x for root in f.types for x in below(root)):
             for level, needs in (("required", f.required), ("recommended", f.recommended)):
                 for need in needs:
-                    under, _, names = need.rpartition(">")
-                    rows.append((f.name, t, level, under, names.split("|")))
+                    m = _NEED.fullmatch(need)
+                    rows.append((f.name, t, level, m["under"] or "", list(below(m["of"])) if m["of"] else [], m["options"].split("|"), m["when"] or "", m["last"] is not None))
             if f.retired:
-                rows.append((f.name, t, "retired", "", []))
-    return spark.createDataFrame(rows, "feature string, type string, level string, under string, options array<string>")
+                rows.append((f.name, t, "retired", "", [], [], "", False))
+    return spark.createDataFrame(rows, "feature string, type string, level string, under string, of array<string>, options array<string>, when string, but_last boolean")
 
 
 def missing(extracted: DataFrame) -> DataFrame:
@@ -76,15 +124,20 @@ def missing(extracted: DataFrame) -> DataFrame:
 
     The rules are a table of fixed size and are broadcast; the paths of a record stay in one row, so no need is a join of its own.
     """
-    fields = extract.record_fields(extracted)
-    paths = extract.paths(fields).groupBy("page_id", "ix").agg(F.collect_set("path").alias("paths"))
+    typed = F.when(F.col("path").endswith(".@type"), F.concat(F.regexp_replace("path", r"\.@type$", ""), F.lit("="), F.regexp_replace("leaf", r"^.*[/:]", "")))
+    paths = extract.paths(extract.record_fields(extracted)).groupBy("page_id", "ix").agg(F.collect_set("path").alias("paths"), F.collect_set(typed).alias("typed"))
     types = extracted.select("page_id", F.explode("records").alias("r")).select("page_id", F.col("r.ix").alias("ix"), F.explode("r.types").alias("type"))
-    asked = types.join(F.broadcast(rules(extracted.sparkSession).where("level <> 'retired'")), "type").join(paths, ["page_id", "ix"])
+    needs = types.join(F.broadcast(rules(extracted.sparkSession).where("level <> 'retired'")), "type").drop("type").distinct()  # two types of a record may share a need
+    asked = needs.join(paths, ["page_id", "ix"])
     inside = F.array_distinct(F.filter(F.transform("paths", lambda p: F.regexp_extract(p, r"^([^.\[]+(?:\[\d+\])?)", 1)), lambda p: F.regexp_replace(p, r"\[\d+\]$", "") == F.col("under")))
-    each = asked.select("page_id", "ix", "feature", "level", "options", "paths", F.explode(F.when(F.col("under") == "", F.array(F.lit(""))).otherwise(inside)).alias("under"))
+    place = lambda u: F.coalesce(F.regexp_extract(u, r"\[(\d+)\]$", 1).try_cast("int"), F.lit(0))
+    last = F.array_max(F.transform(inside, place))
+    inside = F.filter(inside, lambda u: ((F.size("of") == 0) | F.exists("of", lambda t: F.array_contains("typed", F.concat(u, F.lit("="), t)))) & (~F.col("but_last") | (place(u) < last)))
+    each = asked.select("page_id", "ix", "feature", "level", "options", "when", "paths", F.explode(F.when(F.col("under") == "", F.array(F.lit(""))).otherwise(inside)).alias("under"))
     start = F.when(F.col("under") == "", F.lit("")).otherwise(F.concat("under", F.lit(".")))
-    met = F.exists("options", lambda o: F.exists("paths", lambda p: (p == F.concat(start, o)) | p.startswith(F.concat(start, o, F.lit("."))) | p.startswith(F.concat(start, o, F.lit("[")))))
-    return each.where(~met).select("page_id", "ix", "feature", "level", "under", F.array_join("options", "|").alias("options"))
+    has = lambda o: F.exists("paths", lambda p: (p == F.concat(start, o)) | p.startswith(F.concat(start, o, F.lit("."))) | p.startswith(F.concat(start, o, F.lit("["))))
+    asks = (F.col("when") == "") | has(F.col("when"))
+    return each.where(asks & ~F.exists("options", has)).select("page_id", "ix", "feature", "level", "under", F.array_join("options", "|").alias("options"))
 
 
 def features(extracted: DataFrame) -> DataFrame:

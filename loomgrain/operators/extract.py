@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrain.functions import scalars
@@ -106,6 +106,27 @@ def paths(fields: DataFrame) -> DataFrame:
     return fields.select("page_id", "ix", "key", "value").mapInArrow(run, "page_id long, ix int, key string, path string, leaf string")
 
 
+#: Characters that places may take: so many times a page's length, and LEAST_PLACES at least.
+PLACES, LEAST_PLACES = 2, 10_000
+
+
+def places(extracted: DataFrame, pages: DataFrame) -> DataFrame:
+    """page_id, ix, path, leaf and place of every text in the records: its vocabulary, record and JSON pointer, as ``jsonld:0#/offers/price``.
+
+    ``pages`` has page_id and html. A page's places take PLACES times its length together; those beyond, in order of records and paths, are null: a page can't
+    make its places longer than itself without end.
+    """
+    fields = record_fields(extracted)
+    sources = fields.select("page_id", "ix", "key", "source")
+    found = paths(fields).join(sources, ["page_id", "ix", "key"])
+    steps = F.filter(F.split(F.regexp_replace("path", r"\[(\d+)\]", ".$1"), r"\."), lambda x: x != "")
+    placed = found.withColumn("place", F.concat("source", F.lit(":"), F.col("ix").cast("string"), F.lit("#"), scalars.json_pointer(steps)))
+    room = pages.select("page_id", F.greatest(F.lit(LEAST_PLACES), PLACES * F.length(F.coalesce("html", F.lit("")))).alias("room"))
+    order = Window.partitionBy("page_id").orderBy("ix", "path", "leaf").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spent = F.sum(F.length("place")).over(order)
+    return placed.join(room, "page_id").withColumn("spent", spent).select("page_id", "ix", "path", "leaf", F.when(F.col("spent") <= F.col("room"), F.col("place")).alias("place"))
+
+
 def best(question: str, candidates: Column | None = None) -> Column:
     """The struct that answers a question: the candidate of the least rank. No shuffle: a page has its candidates with it."""
     held = F.col("candidates") if candidates is None else candidates

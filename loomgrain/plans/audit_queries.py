@@ -101,3 +101,41 @@ def syntax_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = rendered.parts(spark, sf_dir, rendered.JSONLD + '<meta property="og:title" content="{{name}}">')
     found = readings.by_syntax(pages)
     return found.groupBy("syntax").agg(F.sum(F.json_array_length("items")).cast("long").alias("n_items"))
+
+
+_CRUMBS = '{"@type":"BreadcrumbList","itemListElement":[{"@type":"ListItem","position":1,"name":"a"{{first}}},{"@type":"ListItem","position":2,"name":"b","item":"/b"},{"@type":"ListItem","position":3,"name":"c"}]}'
+_BAKERY = '{"@type":"Bakery","name":"{{name}}","geo":{"@type":"GeoCoordinates","latitude":"1"{{longitude}}},"telephone":"1","priceRange":"$","url":"/","openingHoursSpecification":[{"opens":"08:00","closes":"18:00"},{"opens":"09:00"}]}'
+_POST = '{"@type":"LiveBlogPosting","headline":"{{name}}","image":"/i","datePublished":"2024-01-01","dateModified":"2024-01-01","author":[{"@type":"Person","name":"A","url":"/a"},{"@type":"Organization","name":"B"},{"@type":"Thing","name":"C"}]}'
+
+
+@register(
+    "audit_conditions",
+    """select p_partkey as page_id, 'Breadcrumb' as feature, 'required' as level, 'itemListElement[0]' as under, 'item' as options from part where p_partkey % 3 = 0
+ union all select p_partkey, 'Local business', 'recommended', 'geo', 'longitude' from part where p_partkey % 2 = 0
+ union all select p_partkey, 'Local business', 'recommended', 'openingHoursSpecification[1]', 'closes' from part
+ union all select p_partkey, 'Local business', 'required', '', 'address' from part
+ union all select p_partkey, 'Organization', 'recommended', '', unnest(['logo', 'address', 'sameAs']) from part
+ union all select p_partkey, 'Article', 'recommended', 'author[1]', 'url' from part
+ union all select p_partkey, 'Discussion forum', 'recommended', unnest(['', 'author[1]', 'author[2]']), 'url' from part""",
+)
+def audit_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Needs of all but a list's last item, of values that have another property or are of a type, and of subtypes (a bakery, a live blog)."""
+    p = spread(table(spark, sf_dir, "part"))
+    html = rendered.filled(
+        f'<html><script type="application/ld+json">{{"@context":"https://schema.org","@graph":[{_CRUMBS},{_BAKERY},{_POST}]}}</script></html>', name=F.col("p_name"),
+        first=F.when(F.col("p_partkey") % 3 == 0, "").otherwise(',"item":"/a"'), longitude=F.when(F.col("p_partkey") % 2 == 0, "").otherwise(',"longitude":"2"'),
+    )
+    pages = p.select(F.col("p_partkey").alias("page_id"), F.lit("https://x.example/").alias("url"), html.alias("html"))
+    return audit.missing(extract.extract(pages, ("jsonld",))).drop("ix")
+
+
+@register(
+    "value_places",
+    """select p_partkey as page_id, unnest(['name', 'offers[0].price', 'offers[1].price', 'a/b']) as path, unnest([p_name, '1', p_size::varchar, 'x']) as leaf,
+ unnest(['jsonld:0#/name', 'jsonld:0#/offers/0/price', 'jsonld:0#/offers/1/price', 'jsonld:0#/a~1b']) as place from part""",
+)
+def value_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spread(table(spark, sf_dir, "part"))
+    html = rendered.filled('<html><script type="application/ld+json">{"@context":"https://schema.org","@type":"Product","name":"{{name}}","a/b":"x","offers":[{"price":1},{"price":"{{size}}"}]}</script></html>', name=F.col("p_name"), size=F.col("p_size").cast("string"))
+    pages = p.select(F.col("p_partkey").alias("page_id"), F.lit("https://x.example/").alias("url"), html.alias("html"))
+    return extract.places(extract.extract(pages, ("jsonld",)), pages).drop("ix")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +24,15 @@ def kept(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """The narrow rows of a small table over all cores, before a page is written from each; a file of one row group would else be one task."""
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def shared(spark: SparkSession) -> str:
+    """The shared folder that the session names in spark.checkpoint.dir; a purely local session without one gets a temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='loomgrain-')}"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")

@@ -120,3 +120,47 @@ def test_archives_from_files(spark, tmp_path):
     for size in (1000, 1 << 20):
         rows = archives.read(spark, f"file://{tmp_path}/*.warc.gz", size=size).collect()
         assert sorted(r["url"] for r in rows) == [f"https://x/{k:05d}" for k in range(200)] and {r["html"] for r in rows} == {"<title>t</title>"}
+
+
+def test_command_line(spark, tmp_path):
+    from loomgrain.__main__ import COMMANDS, main, parser
+    from loomgrain.sources import files
+
+    html = "<html><head><title>t</title></head><body><ol>" + "".join(f'<li class="row"><b>n{k}</b><i>{k}.50</i></li>' for k in range(6)) + "</ol></body></html>"
+    spark.createDataFrame([(1, "https://x/", html), (2, "https://x/2", None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages")
+    for name in COMMANDS:
+        assert parser().parse_args([name, "in", "out", *(["--contracts", "c"] if name in ("run", "heal") else [])]).command == name
+    assert main(["answers", f"{tmp_path}/pages", f"{tmp_path}/answers", "--format", "csv"]) == 0
+    assert [r["value"] for r in spark.read.option("header", True).csv(f"{tmp_path}/answers").collect()] == ["t"]
+    assert main(["learn", f"{tmp_path}/pages", f"{tmp_path}/learnt", "--format", "jsonl"]) == 0
+    assert main(["run", f"{tmp_path}/pages", f"{tmp_path}/checks", "--contracts", f"{tmp_path}/learnt"]) == 0
+    found = spark.read.parquet(f"{tmp_path}/checks")
+    assert found.where("page_id = 1 and not ok").count() == 0 and found.where("page_id = 2 and not ok").count() == 1
+    assert main(["heal", f"{tmp_path}/pages", f"{tmp_path}/healed", "--contracts", f"{tmp_path}/learnt"]) == 0
+    assert {r["kind"] for r in spark.read.parquet(f"{tmp_path}/healed").collect()} == {"kept"}
+    # lines that another writer left unfinished are no rows
+    (tmp_path / "lines.json").write_text('{"url":"a","n":1}\n{"url":"b","n"')
+    done = files.read_jsonl(spark, f"{tmp_path}/lines.json", "url string, n long")
+    assert [tuple(r) for r in done.collect()] == [("a", 1)]
+    assert [r["url"] for r in files.left_to_do(spark.createDataFrame([("a",), ("b",)], "url string"), done).collect()] == ["b"]
+    assert files.settings('{"depth": 3}', {"depth": int}) == {"depth": 3}
+    for bad in ('{"deep": 3}', '{"depth": "3"}', "[]"):
+        with pytest.raises(ValueError):
+            files.settings(bad, {"depth": int})
+
+
+def test_facts_of_one_thing_are_no_listing():
+    from loomgrain.kernels.induced import facts_of_one_thing, induce, induce_wanted, says
+    from loomgrain.kernels.tree import load
+
+    rows = "".join(f"<tr><th>{k}</th><td>{v}</td></tr>" for k, v in (("Brand", "Acme"), ("Weight", "12 kg"), ("Price", "$ 10.00"), ("Added", "2024-01-02")))
+    list_ = "".join(f'<li><a href="/p/{k}">thing {k}</a><b>{k}.00</b></li>' for k in range(4))
+    tree = load(f"<table>{rows}</table><ul>{list_}</ul>")
+    assert facts_of_one_thing([{"a": "Brand", "b": "Acme"}, {"a": "Price", "b": "$ 10.00"}, {"a": "Added", "b": "2024-01-02"}])
+    assert not facts_of_one_thing([{"a": f"n{k}", "b": f"{k}.00"} for k in range(4)])
+    assert induce(tree)[2][0]["b"] == "0.00"
+    container, _, found = induce_wanted(tree, {"what": "thing 2", "cost": "$2", "where": "/p/2"}, "https://x/")
+    assert container.endswith("ul") and found[2] == {"what": "thing 2", "cost": "2.00", "where": "/p/2"} and len(found) == 4
+    # two names of one value need two columns that hold it
+    assert induce_wanted(tree, {"one": "thing 2", "two": "thing 2"}, None)[2] == []
+    assert says("1.299,50 €", "1,299.50") and says(" a  b", "a b") and not says("L12", "12") and not says("12", "13")
