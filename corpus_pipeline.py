@@ -21,7 +21,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters of which one learned language has at least half."""
+    """Documents with letters of which one learned language has at least half. The model learns from all labelled rows, held-out ones too."""
     model = language_id.train(docs)
     return language_id.accepted(docs.select(COLUMNS), model)
 
@@ -61,7 +61,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage."""
+    """The rows of the last stage, of all of ``documents``.
+
+    A null or empty text has no letters, so the first stage drops its row; rows that repeat a document are one from the near-copy stage on, but rows
+    without a doc_id stay apart. Other columns of the table don't pass through. An empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
