@@ -263,3 +263,26 @@ def llms_txt(files: DataFrame) -> DataFrame:
     link = r"^\s*[-*]\s*\[([^\]]*)\]\(([^)\s]+)\)\s*:?\s*(.*)$"
     rows = lines.withColumn("section", section).where(F.col("line").rlike(link))
     return rows.select("site", "ord", "section", F.regexp_extract("line", link, 1).alias("name"), F.regexp_extract("line", link, 2).alias("address"), F.regexp_extract("line", link, 3).alias("note"))
+
+
+def llms_findings(files: DataFrame) -> DataFrame:
+    """site, code and value of what is amiss in llms.txt texts: ``no-title``, ``no-summary``, ``second-title``, ``bad-link`` (a list item of a section that is none), ``relative-link``, ``repeated-link``, ``empty-section``.
+
+    A file is a few kilobytes by nature and stays one row.
+    """
+    lines = F.split(F.coalesce("text", F.lit("")), r"\r?\n")
+    held = files.select("site", F.filter(lines, lambda x: F.trim(x) != "").alias("lines"))
+    titles = F.filter("lines", lambda x: x.rlike(r"^# \S"))
+    items = F.filter(F.transform("lines", lambda x, i: F.struct(x.alias("line"), i.alias("i"))), lambda x: x["line"].rlike(r"^\s*[-*]\s") & (x["i"] > F.col("first_section")))
+    link = r"^\s*[-*]\s*\[([^\]]*)\]\(([^)\s]+)\)"
+    t = held.withColumn("first_section", F.coalesce(F.array_min(F.filter(F.transform("lines", lambda x, i: F.when(x.rlike("^## "), i)), lambda i: i.isNotNull())), F.lit(1 << 30)))
+    t = t.withColumn("items", items).withColumn("addresses", F.transform(F.filter("items", lambda x: x["line"].rlike(link)), lambda x: F.regexp_extract(x["line"], link, 2)))
+    one = lambda when, code, value=None: F.when(when, F.array(F.struct(F.lit(code).alias("code"), (F.lit(None).cast("string") if value is None else value).alias("value"))))
+    many = lambda values, code: F.transform(values, lambda v: F.struct(F.lit(code).alias("code"), v.alias("value")))
+    empty = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike("^## ") & ~F.coalesce(F.get("lines", i + 1).rlike(r"^(?!##? )"), F.lit(False)), F.trim(F.substring(x, 4, 1000)))), lambda x: x.isNotNull())
+    repeated = F.array_distinct(F.filter("addresses", lambda a: F.size(F.filter("addresses", lambda b: a == b)) > 1))
+    found = F.flatten(F.filter(F.array(
+        one(F.size(titles) == 0, "no-title"), one(~F.exists("lines", lambda x: x.rlike(r"^> \S")), "no-summary"), one(F.size(titles) > 1, "second-title", F.get(titles, F.lit(1))),
+        many(F.transform(F.filter("items", lambda x: ~x["line"].rlike(link)), lambda x: F.trim(x["line"])), "bad-link"), many(F.filter("addresses", lambda a: ~a.rlike("(?i)^https?://")), "relative-link"), many(repeated, "repeated-link"), many(empty, "empty-section"),
+    ), lambda x: x.isNotNull()))
+    return t.select("site", F.explode(found).alias("f")).select("site", "f.code", "f.value")

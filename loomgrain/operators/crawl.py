@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrain.functions import scalars
-from loomgrain.sources.tables import kept
+from loomgrain.sources.tables import kept, shared
+
+_TAKEN = "address string, depth int, found_on string, place long"
 
 
 def admitted(address: Column, site: str | None, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> Column:
@@ -29,29 +32,35 @@ def crawl(links: DataFrame, start: str, max_pages: int | None = 100, max_depth:
     ``links`` has source, ord and target, normalised. ``allowed`` is a condition on ``target``. ``also`` has address and other: the names under which a
     page that was taken is known too (where it landed, its canonical), which aren't taken again. An address is taken from the first page, in order,
     and the first place on it that links to it. One anti join and one aggregation a level; the order within a level is a range sort's, whose
-    row ids rise with it, so that no level meets in one task. ``max_pages`` is the crawl's own limit; None takes all.
+    row ids rise with it, so that no level meets in one task. Levels are written to the shared folder: what is known is one table however deep
+    the crawl went, and an id that was given stays. ``max_pages`` is the crawl's own limit; None takes all.
     """
     spark = links.sparkSession
+    folder = f"{shared(spark)}/loomgrain-crawl-{uuid.uuid4().hex}"
     edges = links.select("source", "ord", "target").where("target is not null")
     if allowed is not None:
         edges = edges.where(allowed)
-    level = spark.createDataFrame([(start, 0, None, 0)], "address string, depth int, found_on string, place long")
-    taken, known, count = level, _known(level, also), 1
+    level = spark.createDataFrame([(start, 0, None, 0)], _TAKEN)
+    level.write.parquet(f"{folder}/taken/level=0")
+    _known(level, also).write.parquet(f"{folder}/known/level=0")
+    count = 1
     for depth in range(1, max_depth + 1):
         left = None if max_pages is None else max_pages - count
         if left is not None and left <= 0:
             break
+        known = spark.read.schema("address string").parquet(f"{folder}/known")
         found = level.select(F.col("address").alias("source"), F.col("place").alias("from")).join(edges, "source").groupBy("target").agg(F.min(F.struct("from", "ord", "source")).alias("first"))
         new = found.join(known.select(F.col("address").alias("target")), "target", "left_anti").select(F.col("target").alias("address"), F.lit(depth).alias("depth"), F.col("first.source").alias("found_on"), "first")
         ordered = new.orderBy("first") if left is None else new.orderBy("first").limit(left)
         # ids of a sorted frame rise with its order; those of a level begin behind the last one's
-        level = kept(ordered.select("address", "depth", "found_on", (F.monotonically_increasing_id() + (depth << 50)).alias("place")))
+        ordered.select("address", "depth", "found_on", (F.monotonically_increasing_id() + (depth << 50)).alias("place")).write.parquet(f"{folder}/taken/level={depth}")
+        level = spark.read.schema(_TAKEN).parquet(f"{folder}/taken/level={depth}")
         n = level.count()
         if not n:
             break
         count += n
-        taken, known = taken.unionByName(level), known.unionByName(_known(level, also))
-    return taken
+        _known(level, also).write.parquet(f"{folder}/known/level={depth}")
+    return spark.read.schema(_TAKEN).parquet(f"{folder}/taken")
 
 
 def _known(level: DataFrame, also: DataFrame | None) -> DataFrame:
@@ -91,6 +100,50 @@ def map_site(sitemaps: DataFrame, start: list[str], site: str, most: int = 100)
     return urls.groupBy("address").agg(F.max("modified").alias("modified"))
 
 
+def visited(wanted: DataFrame, pages: DataFrame, site: str | None = None, denied: DataFrame | None = None) -> DataFrame:
+    """address, landed, status, html and error of every wanted address, from pages that are already there.
+
+    ``wanted`` has address; ``pages`` url, status, landed (where redirects ended, null for where they began) and html; ``denied`` the addresses that robots.txt or
+    a reservation of rights keeps out. error, the first that holds: ``denied``, ``missing`` (no such page), ``off-site`` (it landed elsewhere), ``http`` (a
+    status from 400 on), ``empty`` (no html), or null; html is null where there is one. Of pages of one address that with the least status and html counts.
+    """
+    own = pages.select(scalars.normalised_url(F.col("url")).alias("address"), F.coalesce(scalars.normalised_url(F.col("landed")), scalars.normalised_url(F.col("url"))).alias("landed"), "status", "html")
+    one = own.where("address is not null").groupBy("address").agg(F.min(F.struct("status", "landed", "html")).alias("p"), F.lit(True).alias("there"))
+    rows = wanted.select("address").distinct().join(one, "address", "left")
+    kept_out = F.lit(False)
+    if denied is not None:
+        rows = rows.join(denied.select("address").distinct().withColumn("denied", F.lit(True)), "address", "left")
+        kept_out = F.coalesce("denied", F.lit(False))
+    away = (scalars.site(F.col("p.landed")) != site) if site is not None else (scalars.site(F.col("p.landed")) != scalars.site(F.col("address")))
+    error = F.when(kept_out, "denied").when(F.col("there").isNull(), "missing").when(away, "off-site").when(F.col("p.status") >= 400, "http").when(F.coalesce(F.trim("p.html"), F.lit("")) == "", "empty")
+    told = rows.withColumn("error", error)
+    seen = F.col("error").isNull() | ~F.col("error").isin("denied", "missing")
+    return told.select("address", F.when(seen, F.col("p.landed")).alias("landed"), F.when(seen, F.col("p.status")).alias("status"), F.when(F.col("error").isNull(), F.col("p.html")).alias("html"), "error")
+
+
+def sitemap_crawl(sitemaps: DataFrame, start: list[str], site: str, pages: DataFrame, include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), most: int = 100, denied: DataFrame | None = None) -> DataFrame:
+    """visited() of all addresses that a site's sitemaps list and the patterns admit; robots.txt's sitemaps are the ``start``."""
+    listed = map_site(sitemaps, start, site, most).where(admitted(F.col("address"), site, include, exclude))
+    return visited(listed, pages, site, denied)
+
+
+def cached(captures: DataFrame, wanted: DataFrame, oldest: float) -> DataFrame:
+    """as_of() with stale: whether the capture is older than ``oldest`` seconds, or there is none, so that the page is to be fetched again."""
+    found = as_of(captures, wanted)
+    age = F.col("at").cast("double") - F.col("ts").cast("double")
+    return found.withColumn("stale", F.coalesce(age > oldest, F.lit(True)))
+
+
+def rungs(fetches: DataFrame, first: int = 0) -> DataFrame:
+    """site and rung at which a site's next fetch begins: the rung of its last fetch that worked, or one above its last that didn't if nothing worked since.
+
+    ``fetches`` has site, at (rising), rung (0 is the cheapest) and ok.
+    """
+    each = fetches.groupBy("site").agg(F.max_by("rung", F.when(F.col("ok"), F.col("at"))).alias("good"), F.max(F.when(F.col("ok"), F.col("at"))).alias("good_at"), F.max_by("rung", F.when(~F.col("ok"), F.col("at"))).alias("bad"), F.max(F.when(~F.col("ok"), F.col("at"))).alias("bad_at"))
+    failed_since = F.col("bad_at").isNotNull() & (F.col("good_at").isNull() | (F.col("bad_at") > F.col("good_at")))
+    return each.select("site", F.when(failed_since, F.greatest(F.col("bad") + 1, F.lit(first))).otherwise(F.coalesce("good", F.lit(first))).alias("rung"))
+
+
 def scheduled(tasks: DataFrame, delays: DataFrame, least: float = 1.0) -> DataFrame:
     """site, seq, ready and start of every task, one at a time for each site, its delay apart.
 
