@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrain.functions import scalars
-from loomgrain.sources.tables import kept, shared
+from loomgrain.sources.tables import kept, shared_path
 
 _TAKEN = "address string, depth int, found_on string, place long"
 
@@ -36,7 +35,7 @@ def crawl(links: DataFrame, start: str, max_pages: int | None = 100, max_depth:
     the crawl went, and an id that was given stays. ``max_pages`` is the crawl's own limit; None takes all.
     """
     spark = links.sparkSession
-    folder = f"{shared(spark)}/loomgrain-crawl-{uuid.uuid4().hex}"
+    folder = shared_path(spark, "crawl")
     edges = links.select("source", "ord", "target").where("target is not null")
     if allowed is not None:
         edges = edges.where(allowed)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -36,3 +37,11 @@ def shared(spark: SparkSession) -> str:
         named = f"file://{tempfile.mkdtemp(prefix='loomgrain-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
+
+
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, removed when the driver's JVM ends."""
+    path = f"{shared(spark)}/loomgrain-{tag}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
