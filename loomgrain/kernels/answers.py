@@ -9,12 +9,14 @@ from collections import Counter
 from decimal import Decimal
 from typing import Any
 
+#: The questions in their order.
 QUESTIONS = (
     "title description url image author published modified language site_name publisher type price price_regular price_low price_high currency availability"
     " brand sku gtin mpn rating rating_best rating_count breadcrumb"
 ).split()
 
 THINGS = ("jsonld", "microdata", "microformats", "rdfa")
+#: Types that a page can be about, that stand around its subject, and that are its site or people; names of nobody.
 _SUBJECTS = frozenset("Product ProductGroup Recipe Event JobPosting Book Movie TVSeries TVEpisode Course SoftwareApplication MobileApplication WebApplication VideoGame Dataset HowTo Review Hotel Restaurant LocalBusiness Offer MusicAlbum MusicRecording PodcastEpisode".split())
 _AROUND = frozenset("BreadcrumbList ListItem ItemList SearchAction SiteNavigationElement WPHeader WPFooter WPSideBar ImageObject EntryPoint".split())
 _SITE = frozenset("WebSite Organization Person Corporation Periodical Newspaper".split())

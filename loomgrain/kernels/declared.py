@@ -274,6 +274,7 @@ def microdata(tree: Node, url: str | None, size: int) -> list[dict[str, Any]]:
 
 # --- RDFa Lite
 
+#: Prefixes that RDFa knows from the start, and those of metas that are no RDFa.
 _INITIAL = {"schema": "http://schema.org/", "foaf": "http://xmlns.com/foaf/0.1/", "dc": "http://purl.org/dc/terms/", "dcterms": "http://purl.org/dc/terms/", "gr": "http://purl.org/goodrelations/v1#", "v": "http://rdf.data-vocabulary.org/#"}
 _OG = ("og:", "fb:", "article:", "book:", "profile:", "video:", "music:", "product:", "twitter:", "al:")
 

@@ -13,7 +13,8 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-MOST_URLS, MOST_BYTES, MOST_ITEMS, MOST_TEXT = 50_000, 16 << 20, 10_000, 1_000_000
+#: Bytes that a packed file may grow to; a larger one is read as broken.
+MOST_BYTES = 256 << 20
 
 
 def _text(body: bytes | str | None) -> str | None:
@@ -55,14 +56,14 @@ def _events(text: str) -> Iterator[Any]:
             return
 
 
-def sitemap(body: bytes | str | None) -> list[dict]:
-    """kind (``url`` or ``sitemap``), address and modified of a sitemap, an index of them, or a plain list; at most MOST_URLS."""
+def sitemap(body: bytes | str | None, most: int | None = None) -> list[dict]:
+    """kind (``url`` or ``sitemap``), address and modified of a sitemap, an index of them, or a plain list; ``most``: the first entries, None for all."""
     text = _text(body)
     if text is None or text.startswith("<") and _unsafe(text):
         return []
     if not text.startswith("<"):
         found = [{"kind": "url", "address": x.strip(), "modified": None} for x in text.splitlines() if re.match(r"\s*https?://\S+\s*$", x)]
-        return found[:MOST_URLS]
+        return found[:most]
     out = []
     for e in _events(text):
         if _local(e.tag) in ("url", "sitemap"):
@@ -70,7 +71,7 @@ def sitemap(body: bytes | str | None) -> list[dict]:
             if said.get("loc"):
                 out.append({"kind": _local(e.tag), "address": said["loc"], "modified": said.get("lastmod") or None})
             e.clear()
-            if len(out) == MOST_URLS:
+            if len(out) == most:
                 break
     return out
 
@@ -79,7 +80,7 @@ def _rss(item: Any, base: str | None) -> dict:
     said: dict[str, str] = {}
     link = None
     for c in item:
-        name, text = _local(c.tag), (c.text or "").strip()[:MOST_TEXT]
+        name, text = _local(c.tag), (c.text or "").strip()
         if name == "guid" and text and (c.get("isPermaLink") or "true").lower() != "false":
             said.setdefault("permalink", text)
         if name == "enclosure" and c.get("url"):
@@ -94,7 +95,7 @@ def _atom(entry: Any, base: str | None) -> dict:
     said: dict[str, str] = {}
     base = urljoin(base or "", entry.get("{http://www.w3.org/XML/1998/namespace}base") or "")
     for c in entry:
-        name, text = _local(c.tag), "".join(c.itertext()).strip()[:MOST_TEXT]
+        name, text = _local(c.tag), "".join(c.itertext()).strip()
         if name == "link" and c.get("href"):
             rel = c.get("rel") or "alternate"
             said.setdefault({"alternate": "link", "enclosure": "enclosure"}.get(rel, rel), urljoin(base, c.get("href")))
@@ -119,8 +120,8 @@ def _json_feed(told: dict, base: str | None) -> list[dict]:
     return out
 
 
-def feed(body: bytes | str | None, url: str | None) -> tuple[str | None, list[dict]]:
-    """(kind, items) of RSS 2.0, RSS 1.0, Atom or JSON Feed; no kind where it is none of them."""
+def feed(body: bytes | str | None, url: str | None, most: int | None = None) -> tuple[str | None, list[dict]]:
+    """(kind, items) of RSS 2.0, RSS 1.0, Atom or JSON Feed; no kind where it is none of them. ``most``: the first items, None for all."""
     text = _text(body)
     if not text:
         return None, []
@@ -130,7 +131,7 @@ def feed(body: bytes | str | None, url: str | None) -> tuple[str | None, list[di
         except (ValueError, RecursionError):
             return None, []
         ok = isinstance(told, dict) and re.match(r"https?://(?:www\.)?jsonfeed\.org/version/1(?:\.\d)?/?$", str(told.get("version", "")))
-        return ("json", _json_feed(told, url)[:MOST_ITEMS]) if ok else (None, [])
+        return ("json", _json_feed(told, url)[:most]) if ok else (None, [])
     if not text.startswith("<") or _unsafe(text):
         return None, []
     root = re.match(r"(?s)(?:<\?.*?\?>|<!--.*?-->|\s)*<(?:[\w-]+:)?(rss|rdf|feed)\b", text, re.I)
@@ -142,7 +143,7 @@ def feed(body: bytes | str | None, url: str | None) -> tuple[str | None, list[di
         if _local(e.tag) == ("entry" if kind == "atom" else "item"):
             out.append((_atom if kind == "atom" else _rss)(e, url))
             e.clear()
-            if len(out) == MOST_ITEMS:
+            if len(out) == most:
                 break
     return kind, out
 
