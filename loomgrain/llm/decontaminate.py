@@ -351,8 +351,9 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, key: str) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("key").orderBy("item")) - 1
     some = pairs.withColumn("some", F.floor(nth / ITEMS_AT_ONCE)).join(items, "item")
     beside = some.groupBy("key", "some").agg(F.collect_list(F.struct("item_id", F.col("text").alias("item_text"))).alias("items")).withColumnRenamed("key", key).drop("some")
-    # written, so that its size is known and a small one is broadcast: the documents then stay where they are
-    met = docs.select("doc_id", key, "text").join(written(beside, "benchmark-beside"), key)
+    # the keys alone are written, whose size on disk is their size, so that few of them are broadcast and the documents stay where they are
+    keys = written(pairs.select(F.col("key").alias(key)).distinct(), "benchmark-keys")
+    met = docs.select("doc_id", key, "text").join(keys, key, "left_semi").join(beside, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
