@@ -105,7 +105,9 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     # masked again rather than written with the lines: those of shared leaves are few, all of them are the input's size
     again = _lines(docs).where(_leaf(F.col("masked")).isNotNull()).select("doc_id", "k", "pos", "masked", F.xxhash64("masked").alias("template"), _leaf(F.col("masked")).alias("leaf"), F.shiftright(place, 6).alias("word"), place.bitwiseAND(63).cast("int").alias("bit"))
     maybe = again.join(F.broadcast(bits), "word").where(F.expr("shiftright(bits, bit) & 1L = 1L"))
-    cut = maybe.join(leaves, "leaf").join(same.select("template"), "template", "left_anti")
+    # a left join, since an anti join would be moved below the filter and shuffle all lines where the templates are too many to broadcast
+    recurs = same.select("template", F.lit(True).alias("recurs"))
+    cut = maybe.join(leaves, "leaf").join(recurs, "template", "left").where("recurs is null").drop("recurs")
     words = written(cut.select("doc_id", "k", "pos", "leaf", "n_lines", F.posexplode(F.split("masked", " ")).alias("at", "word")).select("doc_id", "k", "pos", "leaf", "n_lines", "at", F.xxhash64("word").alias("word"), (F.col("word") != FIELD).alias("fixed")), "line-words")
     counts = words.where("fixed").groupBy("leaf", "at", "word").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS)
     enough = [*(F.lit(x) for x in SUPPORTS), F.greatest(F.lit(MIN_DOCS), COMMON * F.col("n_lines"))]
