@@ -291,6 +291,6 @@ def keep_first(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     named = docs.where("doc_id is not null").withColumn(key, F.xxhash64("text"))
     marked = written(fingerprints(named, words, seed, (key,)), "fingerprints")
     kept = _grouped(marked).where("doc_id = component_id").groupBy("component_id").agg(F.min(key).alias(key)).withColumnRenamed("component_id", "doc_id")
-    once = Window.partitionBy("doc_id").orderBy("text")
+    once = Window.partitionBy("doc_id", key).orderBy("text")  # as the join parts them, so that the texts are shuffled once
     first = named.join(kept, ["doc_id", key], "left_semi").withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1)
     return first.select(docs.columns).unionByName(docs.where("doc_id is null"))
