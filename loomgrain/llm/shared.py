@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,29 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir.
-
-    Only a local master may go without: it gets a folder of its own, kept for the whole session.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = f"file://{tempfile.mkdtemp(prefix='loomgrain-')}"
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{scratch_dir(spark)}/loomgrain-{tag}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
+from loomgrain.sources.tables import shared_path as scratch_path
 
 
 def drop_scratch(spark: SparkSession, path: str) -> None:
