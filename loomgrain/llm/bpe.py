@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from loomgrain.llm.shared import slices, texts
+from loomgrain.llm.shared import slices, texts, turn
 
 #: The word pattern of the byte-level pre-tokenizer.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -135,6 +135,7 @@ def encode_column(df: DataFrame, path: str, column: str = "text", into: str = "i
     names = [f.name for f in schema.fields[:-1]]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("bpe", load.cache_clear)
         bpe = load(path)
         for batch in slices(batches, column):
             ids = [memoryview(bpe.encode(x)).cast("I").tolist() for x in texts(batch.column(column))]
@@ -149,6 +150,7 @@ def decode_column(df: DataFrame, path: str, column: str = "ids", into: str = "de
     names = [f.name for f in schema.fields[:-1]]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("bpe", load.cache_clear)
         bpe = load(path)
         for batch in batches:
             found = [None if x is None else bpe.decode(array("I", x).tobytes()) for x in batch.column(column).to_pylist()]
@@ -161,6 +163,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text, encoded and decoded in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("bpe", load.cache_clear)
         bpe = load(path)
         for batch in slices(batches, "text"):
             n, a, b = [], [], []

@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgrain.llm.shared import fresh, slices, written
+from loomgrain.llm.shared import fresh, slices, turn, written
 
 WINDOW = 5
 CONTAINMENT = 0.8
@@ -42,7 +43,9 @@ FILTER_BITS = 26
 #: Items that are read beside a document's text at once.
 ITEMS_AT_ONCE = 256
 #: Distinct words that a worker remembers; beyond them it begins anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
+#: Bytes of text that are cut into words at once; the words' columns take many times as much.
+BYTES_AT_ONCE = 2_000_000
 
 UNITS = frozenset(
     "mm cm m km in ft yd mi mg g kg t lb lbs oz ml cl l s sec secs min mins h hr hrs ms hz khz mhz ghz w kw mw v a ma kb mb gb tb bit bits byte bytes"
@@ -70,30 +73,47 @@ def _read(word: str, bare: str) -> tuple[int, int, int]:
 
 
 class _Told:
-    """What is read of each distinct word, remembered by a worker: template hash, kind, sentence end, literal hash, and whether it has a sign of its own."""
+    """What is read of each distinct word: template hash, kind, sentence end, literal hash, and whether it has a sign of its own.
+
+    A worker remembers the words that a batch has more than once. Most others never come again, and would fill the memory.
+    """
 
     def __init__(self) -> None:
         self.known: dict[str, int] = {}
         self.columns = [np.zeros(0, kind) for kind in (np.uint64, np.int8, bool, np.uint64, bool)]
 
-    def of(self, words: list[str]) -> list[np.ndarray]:
+    def of(self, words: list[str], times: np.ndarray) -> list[np.ndarray]:
+        """``words`` are distinct; times: how often each stands in the batch."""
         if len(self.known) > REMEMBERED:
             self.__init__()
-        new = [w for w in words if w not in self.known]
-        if new:
-            self.known |= {w: k for k, w in enumerate(new, len(self.known))}
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
+        new = new[np.argsort(times[new] < 2, kind="stable")]  # those to remember come first
+        if len(new):
             rows = []
-            for w in new:
+            for k in new.tolist():
+                w = words[k]
                 bare = _bare(w)
                 rows.append((*_read(w, bare), xxhash.xxh64_intdigest(bare.casefold(), 2), bool(bare)))
-            self.columns = [np.concatenate([have, np.array(more, have.dtype)]) for have, more in zip(self.columns, zip(*rows), strict=True)]
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        return [c[at] for c in self.columns]
+            held = len(self.known)
+            columns = [np.concatenate([have, np.array(more, have.dtype)]) for have, more in zip(self.columns, zip(*rows), strict=True)]
+            at[new] = np.arange(held, held + len(new))
+            kept = int(np.count_nonzero(times[new] > 1))
+            self.known.update((words[k], held + i) for i, k in enumerate(new[:kept].tolist()))
+            self.columns = [c[: held + kept].copy() for c in columns]
+        else:
+            columns = self.columns
+        return [c[at] for c in columns]
 
 
 _TOLD = _Told()
 
 
+def _forget() -> None:
+    _TOLD.__init__()
+    _item.cache_clear()
+
+
 def _templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
     """Offsets of the words of each text, their template hashes, slot marks, literal hashes and codes, and the distinct words."""
     if isinstance(column, pa.ChunkedArray):
@@ -103,7 +123,7 @@ def _templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     coded = flat.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).dictionary_encode()
     codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
     offsets = offsets - offsets[0]
-    hashes, kind, ends, plain, solid = _TOLD.of(words)
+    hashes, kind, ends, plain, solid = _TOLD.of(words, np.bincount(codes, minlength=len(words)))
     held = solid[codes] if len(codes) else np.zeros(0, bool)
     kept = np.concatenate(([0], np.cumsum(held)))
     offsets, codes = kept[offsets], codes[held]
@@ -180,6 +200,7 @@ def item_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     items = written(items, "benchmark-items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("decontaminate", _forget)
         for batch in batches:
             for key, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 own = Item(text)
@@ -230,8 +251,9 @@ def candidates(docs: DataFrame, key: str, rarest: DataFrame) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(_filter(rarest))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("decontaminate", _forget)
         bits = shipped.value
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", BYTES_AT_ONCE):
             offsets, template, slot, plain, _, _ = _templates(batch.column("text"))
             doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
             rows, hashes = [], []
@@ -356,6 +378,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, key: str) -> DataFrame:
     met = docs.select("doc_id", key, "text").join(keys, key, "left_semi").join(beside, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("decontaminate", _forget)
         for batch in slices(batches, "text"):
             rows: list[tuple] = []
             for k in range(batch.num_rows):

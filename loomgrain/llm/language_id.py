@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgrain.llm.shared import slices
+from loomgrain.llm.shared import slices, turn
 
 BUCKETS = 1 << 18
 #: Documents to learn from, for each language.
@@ -28,6 +28,8 @@ SAMPLE = 1500
 SWITCH = 8.0
 #: The most that one word counts for or against a language.
 WORD_LIMIT = 12.0
+#: Bytes of text that are cut into words at once; the columns of the words and their trigrams take many times as much.
+BYTES_AT_ONCE = 4_000_000
 #: A script's share of a language's letters from which the language is a candidate for its words.
 SCRIPT_SHARE = 0.001
 UND = "und"
@@ -100,9 +102,10 @@ def train(labelled: DataFrame, sample: int = SAMPLE, seed: str = "doc_id") -> Mo
     at = {lang: k for k, lang in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("language")
         grams = np.zeros((len(languages), BUCKETS), np.int64)
         scripts = np.zeros((len(languages), SCRIPTS), np.int64)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", BYTES_AT_ONCE):
             offsets, codes, words, lengths = _words(batch.column("text"))
             langs = np.repeat([at[x] for x in batch.column("lang").to_pylist()], np.diff(offsets))
             if not len(codes):
@@ -212,9 +215,10 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("language")
         own = shipped.value
         names = [*own.languages, UND]
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", BYTES_AT_ONCE):
             pick, score = _picked(own, batch.column("text"), switch)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([names[k] for k in pick.tolist()], pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
@@ -226,7 +230,8 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.5, switch: float =
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        turn("language")
+        for batch in slices(batches, "text", BYTES_AT_ONCE):
             pick, score = _picked(shipped.value, batch.column("text"), switch)
             yield batch.filter(pa.array((pick < len(shipped.value.languages)) & (score >= least)))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,24 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8_0
             begin = end
 
 
+_served: tuple[str, Callable[[], None] | None] = ("", None)
+
+
+def turn(operator: str, forget: Callable[[], None] | None = None) -> None:
+    """Said where a task begins. A worker outlives the stage that started it: what another operator remembered in it is forgotten, and freed memory goes back."""
+    global _served
+    before, drop = _served
+    _served = operator, forget
+    if before in ("", operator):
+        return
+    if drop is not None:
+        drop()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
 def texts(column: pa.Array) -> list[str]:
     """The values of a text column, null as the empty text."""
     return column.fill_null("").to_pylist()

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrain.llm.components import connected_components
-from loomgrain.llm.shared import fresh, slices, texts, written
+from loomgrain.llm.shared import fresh, slices, texts, turn, written
 
 DISTANCE = 3
 FAN = 16
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, beside: tuple[
     names = ["doc_id", *beside, "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("simhash")
         for batch in slices(batches, "text"):
             found = np.array([fingerprint(x, words, seed) for x in texts(batch.column("text"))], np.uint64)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names[:-1]), pa.array(found.view(np.int64))], names=names)

@@ -1,6 +1,8 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from loomgrain.llm import decontaminate as dc
 from loomgrain.sources.tables import table
 from tests.llm.helpers import LONG, ODD, docs, empty
@@ -181,3 +183,19 @@ def test_literal_copies_without_template_windows(spark):
     assert sorted(r["doc_id"] for r in dc.clean(docs(spark, rows), bench(spark, items)).collect()) == [40, 41, 42]
     # an item does not begin in one document and end in the next
     assert found(spark, [(1, "Solve 3x +"), (2, "5 = 20")], items) == []
+
+
+def test_words_that_stand_once_are_not_remembered(monkeypatch):
+    once = [f"{chr(97 + k % 26)}once{k}" for k in range(500)]
+    words = ["Boston", "40", *once, "hours."]
+    times = np.array([3, 2, *[1] * len(once), 5])
+    told = dc._Told()
+    first = told.of(words, times)
+    assert set(told.known) == {"Boston", "40", "hours."} and all(len(c) == 3 for c in told.columns)
+    backward = told.of(words[::-1], times[::-1])
+    assert all((a == b[::-1]).all() for a, b in zip(first, backward, strict=True))
+    want = [(*dc._read(w, dc._bare(w)), dc.xxhash.xxh64_intdigest(dc._bare(w).casefold(), 2), bool(dc._bare(w))) for w in words]
+    assert [tuple(map(int, row)) for row in zip(*first, strict=True)] == [tuple(map(int, row)) for row in want]
+    monkeypatch.setattr(dc, "REMEMBERED", 2)
+    again = told.of(words[:2], times[:2])
+    assert set(told.known) == {"Boston", "40"} and all((a == b[:2]).all() for a, b in zip(again, first, strict=True))

@@ -1,11 +1,12 @@
 import hashlib
 
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from loomgrain.llm import language_id
-from loomgrain.llm.shared import written
+from loomgrain.llm import bpe, decontaminate, language_id
+from loomgrain.llm.shared import turn, written
 from loomgrain.sources.tables import table
 from tests.llm.helpers import ODD, docs, empty
 from tests.llm.test_line_templates import slow as slow_lines
@@ -38,3 +39,17 @@ def test_stages_on_odd_rows(spark, tiny):
                 rows = out
         assert out.count() <= len(ODD)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "lines", "simhash", "decontaminate", "bpe"]
+
+
+def test_a_worker_remembers_one_operator_at_a_time():
+    own = bpe.load(public_tokenizers.path("byte_bpe_50k.json"))
+    assert own.encode("once") and own.known
+    turn("bpe", bpe.load.cache_clear)
+    turn("decontaminate", decontaminate._forget)
+    assert bpe.load.cache_info().currsize == 0
+    decontaminate._forget()
+    decontaminate._templates(pa.array(["twice twice once"]))
+    turn("decontaminate", decontaminate._forget)
+    assert set(decontaminate._TOLD.known) == {"twice"}
+    turn("simhash")
+    assert not decontaminate._TOLD.known and not any(map(len, decontaminate._TOLD.columns))
