@@ -39,26 +39,42 @@ _WITH_DIGIT = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*"
 
 
 def _masked(lines: Column) -> Column:
-    """Lines with single spaces and their words with digits as fields. Most lines have nothing to change."""
+    """(masked, raw, n_words) of lines: single spaces, words with digits as fields, whether the digits stayed, words. Most lines have nothing to change.
+
+    Each layer's results are read by the next, since nothing is shared inside of one.
+    """
 
     def both(line: Column) -> Column:
-        spaced = F.trim(F.when(line.rlike("[\t\r]|  "), F.regexp_replace(line, "[\t\r ]+", " ")).otherwise(line))
+        ragged = line.contains("  ") | line.contains("\t") | line.contains("\r")
+        spaced = F.trim(F.when(ragged, F.regexp_replace(line, "[\t\r ]+", " ")).otherwise(line))
         return F.struct(spaced.alias("line"), F.when(line.rlike("[0-9]"), F.regexp_replace(spaced, _WITH_DIGIT, FIELD)).alias("masked"))
 
     def chosen(x: Column) -> Column:
-        fields = F.length(x["masked"]) - F.length(F.replace(x["masked"], F.lit(FIELD), F.lit("")))
-        return F.when(x["masked"].isNull() | (2 * fields > len(FIELD) * _n_words(x["masked"])), x["line"]).otherwise(x["masked"])
+        fields = F.octet_length(x["masked"]) - F.octet_length(F.replace(x["masked"], F.lit(FIELD), F.lit("")))
+        raw = F.coalesce(2 * fields > len(FIELD) * _n_words(x["masked"]), F.lit(False))
+        return F.struct(x["line"].alias("line"), x["masked"].alias("masked"), raw.alias("raw"))
+
+    def counted(x: Column) -> Column:
+        masked = F.when(x["raw"] | x["masked"].isNull(), x["line"]).otherwise(x["masked"])
+        return F.struct(masked.alias("masked"), x["raw"].alias("raw"))
+
+    def told(x: Column) -> Column:
+        return F.struct(x["masked"].alias("masked"), x["raw"].alias("raw"), _n_words(x["masked"]).alias("n_words"))
+
+    return F.transform(F.transform(F.transform(F.transform(lines, both), chosen), counted), told)
+
 
-    return F.transform(F.transform(lines, both), chosen)
+def _has_leaf() -> Column:
+    """Not of short lines, nor of those whose digits are words."""
+    return (F.col("n_words") >= MIN_WORDS) & ~F.col("raw")
 
 
-def _leaf(masked: Column) -> Column:
-    """Null for lines that have none: short ones, and those whose digits are words."""
-    return F.when((_n_words(masked) >= MIN_WORDS) & ~masked.rlike("[0-9]"), F.xxhash64(_n_words(masked), F.substring_index(masked, " ", DEPTH)))
+def _leaf() -> Column:
+    return F.xxhash64("n_words", F.substring_index("masked", " ", DEPTH))
 
 
 def _n_words(masked: Column) -> Column:
-    return F.length(masked) - F.length(F.replace(masked, F.lit(" "), F.lit(""))) + 1
+    return F.octet_length(masked) - F.octet_length(F.replace(masked, F.lit(" "), F.lit(""))) + 1
 
 
 def _key() -> Column:
@@ -66,10 +82,10 @@ def _key() -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, k, pos and masked of every line of two words or more."""
-    # masked inside the array, so that what stands above reads the result and doesn't mask again
-    cut = docs.select("doc_id", _key().alias("k"), F.posexplode(_masked(F.split("text", "\n", -1))).alias("pos", "masked"))
-    return cut.where(F.col("masked").contains(" "))
+    """doc_id, k, pos, masked, raw and n_words of every line of two words or more."""
+    # masked and counted inside the array, so that what stands above reads the result and does neither again
+    cut = docs.select("doc_id", _key().alias("k"), F.posexplode(_masked(F.split("text", "\n", -1))).alias("pos", "line"))
+    return cut.where(F.col("line.n_words") > 1).select("doc_id", "k", "pos", "line.masked", "line.raw", "line.n_words")
 
 
 def _enough(n_words: Column) -> Column:
@@ -93,7 +109,7 @@ def _shared_leaf_bits(leaves: DataFrame) -> DataFrame:
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, k, pos) of the lines that go."""
-    lines = written(_lines(docs).select("doc_id", "k", "pos", F.xxhash64("masked").alias("template"), _leaf(F.col("masked")).alias("leaf"), _enough(_n_words(F.col("masked"))).alias("enough")), "lines")
+    lines = written(_lines(docs).select("doc_id", "k", "pos", F.xxhash64("masked").alias("template"), F.when(_has_leaf(), _leaf()).alias("leaf"), _enough(F.col("n_words")).alias("enough")), "lines")
     same = written(_recurring(lines, "template", F.col("enough")), "line-templates")
     by_mask = lines.join(same, "template").where("k <> first").select("doc_id", "k", "pos")
 
@@ -103,8 +119,9 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     bits = _shared_leaf_bits(leaves)
     place = F.col("leaf").bitwiseAND((1 << FILTER_BITS) - 1)
     # masked again rather than written with the lines: those of shared leaves are few, all of them are the input's size
-    again = _lines(docs).where(_leaf(F.col("masked")).isNotNull()).select("doc_id", "k", "pos", "masked", F.xxhash64("masked").alias("template"), _leaf(F.col("masked")).alias("leaf"), F.shiftright(place, 6).alias("word"), place.bitwiseAND(63).cast("int").alias("bit"))
-    maybe = again.join(F.broadcast(bits), "word").where(F.expr("shiftright(bits, bit) & 1L = 1L"))
+    again = _lines(docs).where(_has_leaf()).select("doc_id", "k", "pos", "masked", _leaf().alias("leaf"))
+    again = again.withColumns({"word": F.shiftright(place, 6), "bit": place.bitwiseAND(63).cast("int")})
+    maybe = again.join(F.broadcast(bits), "word").where(F.expr("shiftright(bits, bit) & 1L = 1L")).withColumn("template", F.xxhash64("masked"))
     # a left join, since an anti join would be moved below the filter and shuffle all lines where the templates are too many to broadcast
     recurs = same.select("template", F.lit(True).alias("recurs"))
     cut = maybe.join(leaves, "leaf").join(recurs, "template", "left").where("recurs is null").drop("recurs")

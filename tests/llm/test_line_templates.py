@@ -3,6 +3,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from loomgrain.llm import line_templates as lt
+from loomgrain.llm.shared import written
 from loomgrain.sources.tables import table
 from tests.llm.helpers import LONG, ODD, docs, empty
 
@@ -138,3 +139,17 @@ def test_a_text_of_very_many_dropped_lines(spark):
     text = "\n".join(f"line of the log that recurs in all of them {'abcdefghij'[k % 10]}" + "\nown" * (k % 1000 == 0) for k in range(20_000))
     found = {x[0]: x for x in got(docs(spark, [(k, text) for k in range(3)]))}
     assert found[0][3] == 0 and found[1][3] == found[2][3] == 20_000 and found[2][1] == "\n".join(["own"] * 20)
+
+
+def test_a_line_is_looked_through_once_a_pass(spark, monkeypatch):
+    plans = {}
+
+    def noted(df, tag):
+        plans[tag] = df._jdf.queryExecution().optimizedPlan().toString()
+        return written(df, tag)
+
+    monkeypatch.setattr(lt, "written", noted)
+    rows = [(k, f"this line is in every  document\tnumber {k}\n1 2 3 4 5 {k} and six\r") for k in range(5)]
+    got = {r["doc_id"]: r["text"] for r in lt.dedup(docs(spark, rows)).collect()}
+    assert got == {r[0]: r[1] for r in rows[:1]} | {k: f"1 2 3 4 5 {k} and six\r" for k in range(1, 5)}
+    assert [plans[x].count("RLIKE") for x in ("lines", "line-words")] == [1, 1]
