@@ -30,7 +30,7 @@ SUPPORTS = tuple(MIN_DOCS * 4**k for k in range(8))
 COMMON = 0.05
 #: Share of a template's words without digits that must be constants.
 CONSTANT = 0.8
-#: Bits of the filter that lets only lines of shared leaves be cut into words; 2 MB whatever the input's size.
+#: Bits of the filters that let only repeated lines be looked up and only lines of shared leaves be cut into words; 2 MB each whatever the input's size.
 FILTER_BITS = 24
 
 FIELD = "<*>"
@@ -93,56 +93,68 @@ def _enough(n_words: Column) -> Column:
     return F.when(n_words >= LONG_WORDS, LONG_DOCS).when(n_words >= MIN_WORDS, MIN_DOCS).otherwise(SHORT_DOCS)
 
 
-def _recurring(lines: DataFrame, template: str, enough: Column) -> DataFrame:
-    """The templates of ``enough`` documents or more, each with its first document (nulls last)."""
-    each = lines.select(template, "doc_id", "k", enough.alias("enough")).distinct()
+def _recurring(lines: DataFrame, template: str, enough: Column, *of_template: str) -> DataFrame:
+    """The templates of ``enough`` documents or more, each with its first document (nulls last), its number of lines and the columns that hang on it."""
+    each = lines.select(template, "doc_id", "k", enough.alias("enough"), *of_template).groupBy(template, "doc_id", "k", "enough", *of_template).agg(F.count("*").alias("n"))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("k"))
-    return each.groupBy(template).agg(F.count("*").alias("n_docs"), F.min(order)["k"].alias("first"), F.max("enough").alias("enough")).where(F.col("n_docs") >= F.col("enough"))
+    first = F.min(order)["k"].alias("first")
+    found = each.groupBy(template).agg(F.count("*").alias("n_docs"), first, F.max("enough").alias("enough"), F.sum("n").alias("n_lines"), *(F.max(c).alias(c) for c in of_template))
+    return found.where(F.col("n_docs") >= F.col("enough"))
 
 
-def _shared_leaf_bits(leaves: DataFrame) -> DataFrame:
-    """(word, bits): a bit for each hashed leaf; 2 ** (FILTER_BITS - 6) rows at most, so it may be broadcast."""
-    place = F.col("leaf").bitwiseAND((1 << FILTER_BITS) - 1)
+def _among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose hashed ``key`` is one of ``keys``, and few others; none is shuffled, whatever the number of keys.
+
+    What is broadcast is a bit for each key, 2 ** (FILTER_BITS - 6) rows at most. Whoever asks looks up what is left exactly.
+    """
+
+    def place(of: Column) -> Column:
+        return of.bitwiseAND((1 << FILTER_BITS) - 1)
+
     one = F.expr("shiftleft(1L, cast(place & 63 as int))")
-    return leaves.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(one).alias("bits"))
+    bits = keys.select(place(F.col(key)).alias("place")).groupBy(F.shiftright("place", 6).alias("at_bits")).agg(F.bit_or(one).alias("bits"))
+    at = rows.withColumns({"at_bits": F.shiftright(place(F.col(key)), 6), "bit": F.col(key).bitwiseAND(63).cast("int")})
+    return at.join(F.broadcast(bits), "at_bits").where(F.expr("shiftright(bits, bit) & 1L = 1L")).select(*rows.columns)
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, k, pos) of the lines that go."""
     lines = written(_lines(docs).select("doc_id", "k", "pos", F.xxhash64("masked").alias("template"), F.when(_has_leaf(), _leaf()).alias("leaf"), _enough(F.col("n_words")).alias("enough")), "lines")
-    same = written(_recurring(lines, "template", F.col("enough")), "line-templates")
-    by_mask = lines.join(same, "template").where("k <> first").select("doc_id", "k", "pos")
-
-    # leaves that enough lines share whose template does not recur as it is
-    single = lines.where("leaf is not null").join(same, "template", "left_anti")
-    leaves = written(single.groupBy("leaf").agg(F.count("*").alias("n_lines")).where(F.col("n_lines") >= MIN_DOCS), "line-leaves")
-    bits = _shared_leaf_bits(leaves)
-    place = F.col("leaf").bitwiseAND((1 << FILTER_BITS) - 1)
+    # most lines are alone, and are counted but not joined: a template has no more documents than lines
+    often = lines.groupBy("template").agg(F.count("*").alias("n"), F.max("enough").alias("enough")).where("n >= enough").select("template")
+    repeated = written(_among(lines, often, "template"), "line-repeats")
+    same = written(_recurring(repeated, "template", F.col("enough"), "leaf"), "line-templates")
+    by_mask = repeated.join(same.select("template", "first"), "template").where("k <> first").select("doc_id", "k", "pos")
+
+    # leaves that enough lines share whose template does not recur as it is: all lines of a leaf, less those of such templates
+    each = lines.select("leaf", F.lit(1).cast("long").alias("n")).unionByName(same.select("leaf", (-F.col("n_lines")).alias("n"))).where("leaf is not null")
+    leaves = written(each.groupBy("leaf").agg(F.sum("n").alias("n_lines")).where(F.col("n_lines") >= MIN_DOCS), "line-leaves")
     # masked again rather than written with the lines: those of shared leaves are few, all of them are the input's size
     again = _lines(docs).where(_has_leaf()).select("doc_id", "k", "pos", "masked", _leaf().alias("leaf"))
-    again = again.withColumns({"word": F.shiftright(place, 6), "bit": place.bitwiseAND(63).cast("int")})
-    maybe = again.join(F.broadcast(bits), "word").where(F.expr("shiftright(bits, bit) & 1L = 1L")).withColumn("template", F.xxhash64("masked"))
+    maybe = _among(again, leaves, "leaf").withColumn("template", F.xxhash64("masked"))
     # a left join, since an anti join would be moved below the filter and shuffle all lines where the templates are too many to broadcast
     recurs = same.select("template", F.lit(True).alias("recurs"))
     cut = maybe.join(leaves, "leaf").join(recurs, "template", "left").where("recurs is null").drop("recurs")
-    words = written(cut.select("doc_id", "k", "pos", "leaf", "n_lines", F.posexplode(F.split("masked", " ")).alias("at", "word")).select("doc_id", "k", "pos", "leaf", "n_lines", "at", F.xxhash64("word").alias("word"), (F.col("word") != FIELD).alias("fixed")), "line-words")
-    counts = words.where("fixed").groupBy("leaf", "at", "word").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS)
+    split = F.split("masked", " ")
+    # in a select of their own, which is done once a line; rows that repeat a document have lines apart, whose words must not be mixed
+    cut = cut.select("doc_id", "k", "pos", "leaf", "n_lines", "masked", F.size(F.array_remove(split, FIELD)).alias("n_fixed"), F.monotonically_increasing_id().alias("line"))
+    cut = cut.select("doc_id", "k", "pos", "leaf", "n_lines", "n_fixed", "line", F.posexplode(split).alias("at", "word")).where(F.col("word") != FIELD)
+    # a word is what stands at a place of a leaf, so that it tells the leaf as well
+    words = written(cut.select("doc_id", "k", "pos", "n_lines", "n_fixed", "line", F.xxhash64("leaf", "at", "word").alias("word")), "line-words")
+    counts = words.groupBy("word").agg(F.count("*").alias("n"), F.max("n_lines").alias("n_lines")).where(F.col("n") >= MIN_DOCS)
     enough = [*(F.lit(x) for x in SUPPORTS), F.greatest(F.lit(MIN_DOCS), COMMON * F.col("n_lines"))]
-    constant = [F.coalesce(F.col("n"), F.lit(0)) >= x for x in enough]
-    as_word, as_field = F.xxhash64("at", "word"), F.xxhash64("at")
+    constant = [F.col("n") >= x for x in enough]
+    # a word that too few lines have is a field at any support, and a line of no others has no template
     judged = (
-        words.join(counts, ["leaf", "at", "word"], "left")
-        .groupBy("doc_id", "k", "pos")
+        words.drop("n_lines").join(counts, "word")
+        .groupBy("line", "doc_id", "k", "pos", "n_fixed")
         .agg(
-            F.first("leaf").alias("leaf"),
-            F.count(F.when(F.col("fixed"), 1)).alias("n_fixed"),
             *(F.count(F.when(c, 1)).alias(f"n_{i}") for i, c in enumerate(constant)),
-            *(F.bit_xor(F.when(c, as_word).otherwise(as_field)).alias(f"form_{i}") for i, c in enumerate(constant)),
+            *(F.bit_xor(F.when(c, F.col("word"))).alias(f"form_{i}") for i, c in enumerate(constant)),
         )
     )
-    forms = F.array(*(F.when((F.col("n_fixed") > 0) & (F.col(f"n_{i}") >= CONSTANT * F.col("n_fixed")), F.col(f"form_{i}")) for i in range(len(constant))))
-    general = judged.select("doc_id", "k", "pos", "leaf", F.explode(F.array_distinct(F.array_compact(forms))).alias("form")).select("doc_id", "k", "pos", F.xxhash64("leaf", "form").alias("template"))
-    general = written(general, "general-templates")
+    forms = F.array(*(F.when(F.col(f"n_{i}") >= CONSTANT * F.col("n_fixed"), F.col(f"form_{i}")) for i in range(len(constant))))
+    general = written(judged.select("doc_id", "k", "pos", F.explode(F.array_distinct(F.array_compact(forms))).alias("template")), "general-templates")
     by_leaf = general.join(_recurring(general, "template", F.lit(MIN_DOCS)), "template").where("k <> first").select("doc_id", "k", "pos")
     return by_mask.unionByName(by_leaf).distinct()
 

@@ -153,3 +153,37 @@ def test_a_line_is_looked_through_once_a_pass(spark, monkeypatch):
     got = {r["doc_id"]: r["text"] for r in lt.dedup(docs(spark, rows)).collect()}
     assert got == {r[0]: r[1] for r in rows[:1]} | {k: f"1 2 3 4 5 {k} and six\r" for k in range(1, 5)}
     assert [plans[x].count("RLIKE") for x in ("lines", "line-words")] == [1, 1]
+
+
+def test_lines_that_are_alone_are_counted_and_not_joined(spark):
+    """No join of theirs may shuffle them, however small the tables are that Spark broadcasts."""
+    word = lambda n: "".join("abcdefghijklmnopqrstuvwxyz"[(n * 7919 + 17) // 26**k % 26] for k in range(5))
+    alone = [(n, "\n".join(" ".join(word(n * 100 + 10 * at + k) for k in range(8)) for at in range(10))) for n in range(400)]
+    same = "User has now been signed out of the office"
+    shared = [(1000 + n, f"{same}\nUser has now {word(n)} signed in at the desk\n{same}") for n in range(20)]
+    rows = [*alone, *shared]
+    store, before = spark.sparkContext._jsc.sc().statusStore(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def stages():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        last = max(stages(), default=-1)
+        found = got(docs(spark, rows))
+        shuffled = sum(n for k, n in stages().items() if k > last)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == slow(rows)
+    # once by template, once by leaf; the rest is the documents' and the shared lines'
+    assert 2 * 4000 <= shuffled < 3 * 4000
+
+
+def test_rows_that_repeat_a_document_lose_their_lines(spark):
+    rows = [(n, f"User has now {x} signed in at the desk\nnote {'abcdefg'[n]} of its own") for n, x in enumerate("ada bea cid dov eva".split())]
+    rows = [*rows, rows[0], rows[3], rows[4]]
+    found = got(docs(spark, rows))
+    assert found == slow(rows)
+    assert [x[3] for x in found] == [0, 0, 1, 1, 1, 1, 1, 1]
