@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrain.functions import scalars
@@ -105,7 +107,7 @@ def below(root: str) -> tuple[str, ...]:
 _NEED = re.compile(r"(?:(?P<under>\w+)(?:@(?P<of>\w+))?>)?(?P<options>[\w|]+)(?: if (?P<when>\w+))?(?P<last> except last)?")
 
 
-def rules(spark: SparkSession) -> DataFrame:
+def _rules() -> list[tuple]:
     """A row for every need and type, subtypes too: feature, type, level (required, recommended, or ``retired`` for what is no longer shown), under, of (types), options, when and but_last."""
     rows = []
     for f in FEATURES:
@@ -113,40 +115,88 @@ def rules(spark: SparkSession) -> DataFrame:
             for level, needs in (("required", f.required), ("recommended", f.recommended)):
                 for need in needs:
                     m = _NEED.fullmatch(need)
-                    rows.append((f.name, t, level, m["under"] or "", list(below(m["of"])) if m["of"] else [], m["options"].split("|"), m["when"] or "", m["last"] is not None))
+                    rows.append((f.name, t, level, m["under"] or "", tuple(below(m["of"])) if m["of"] else (), tuple(m["options"].split("|")), m["when"] or "", m["last"] is not None))
             if f.retired:
-                rows.append((f.name, t, "retired", "", [], [], "", False))
-    return spark.createDataFrame(rows, "feature string, type string, level string, under string, of array<string>, options array<string>, when string, but_last boolean")
+                rows.append((f.name, t, "retired", "", (), (), "", False))
+    return rows
+
+
+@lru_cache(maxsize=1)
+def _by_type() -> dict[str, list[tuple]]:
+    """The rules of each type, without it."""
+    found: dict[str, list[tuple]] = {}
+    for feature, kind, *need in _rules():
+        found.setdefault(kind, []).append((feature, *need))
+    return found
+
+
+_TOP = re.compile(r"[^.\[]+(?:\[[0-9]+\])?")
+_PLACE = re.compile(r"\[([0-9]+)\]$")
+
+
+def lacking(types: list[str], fields: list[tuple[str, str]]) -> list[tuple[str, str, str, str]]:
+    """feature, level, under and options of every need that a record with such types and fields (key, text or JSON) doesn't meet."""
+    # two types of a record may share a need
+    needs = dict.fromkeys(need for t in types for need in _by_type().get(t, ()) if need[1] != "retired")
+    held = [x for key, value in fields for x in extract.texts_of(key, value)] if needs else []
+    if not held:
+        return []
+    typed = {f"{p[:-6]}={re.sub(r'^.*[/:]', '', leaf)}" for p, leaf in held if p.endswith(".@type")}
+    there = {p for p, _ in held} | {p[: m.start()] for p, _ in held for m in re.finditer(r"[.\[]", p)}
+    tops: dict[str, list[tuple[str, int]]] = {}
+    for top in dict.fromkeys(m[0] for p, _ in held if (m := _TOP.match(p))):
+        at = _PLACE.search(top)
+        tops.setdefault(top[: at.start()] if at else top, []).append((top, int(at[1]) if at else 0))
+    out = []
+    for feature, level, under, of, options, when, but_last in needs:
+        inside = tops.get(under, []) if under else [("", 0)]
+        last = max((k for _, k in inside), default=0)
+        for u, k in inside:
+            if under and (of and not any(f"{u}={t}" in typed for t in of) or but_last and k >= last):
+                continue
+            start = f"{u}." if under else ""
+            if (not when or start + when in there) and not any(start + o in there for o in options):
+                out.append((feature, level, u, "|".join(options)))
+    return out
+
+
+def verdicts(types: list[str], fields: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """feature and verdict of each feature that a record with such types and fields is for."""
+    known: dict[str, bool] = {}
+    for feature, level, *_ in (need for t in types for need in _by_type().get(t, ())):
+        known[feature] = known.get(feature, False) or level == "retired"
+    lacks: dict[str, bool] = {}
+    for feature, level, _, _ in lacking(types, fields):
+        lacks[feature] = lacks.get(feature, False) or level == "required"
+    return [(f, "retired" if retired else "complete" if f not in lacks else "ineligible" if lacks[f] else "improvable") for f, retired in known.items()]
+
+
+def _of_records(extracted: DataFrame, one: Callable[[list, list], list[tuple]], names: tuple[str, ...]) -> DataFrame:
+    """page_id, ix and ``names`` of what ``one`` says of each record's types and fields."""
+    schema = pa.schema([("page_id", pa.int64()), ("ix", pa.int32()), *((n, pa.string()) for n in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                pages = zip(*(batch.slice(k, 500).column(c).to_pylist() for c in range(2)), strict=True)
+                rows = [(page, r["ix"], *x) for page, records in pages for r in records or [] for x in one(r["types"] or [], [(f["key"], f["value"]) for f in r["fields"] or []])]
+                columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return extracted.select("page_id", "records").mapInArrow(run, f"page_id long, ix int, {', '.join(f'{n} string' for n in names)}")
 
 
 def missing(extracted: DataFrame) -> DataFrame:
     """page_id, ix, feature, level, under (the value that lacks it, with its place in a list) and options of every need that a record doesn't meet.
 
-    The rules are a table of fixed size and are broadcast; the paths of a record stay in one row, so no need is a join of its own.
+    A record stays in its page's row and is held against the rules there: no join, and one parse of a page.
     """
-    typed = F.when(F.col("path").endswith(".@type"), F.concat(F.regexp_replace("path", r"\.@type$", ""), F.lit("="), F.regexp_replace("leaf", r"^.*[/:]", "")))
-    paths = extract.paths(extract.record_fields(extracted)).groupBy("page_id", "ix").agg(F.collect_set("path").alias("paths"), F.collect_set(typed).alias("typed"))
-    types = extracted.select("page_id", F.explode("records").alias("r")).select("page_id", F.col("r.ix").alias("ix"), F.explode("r.types").alias("type"))
-    needs = types.join(F.broadcast(rules(extracted.sparkSession).where("level <> 'retired'")), "type").drop("type").distinct()  # two types of a record may share a need
-    asked = needs.join(paths, ["page_id", "ix"])
-    inside = F.array_distinct(F.filter(F.transform("paths", lambda p: F.regexp_extract(p, r"^([^.\[]+(?:\[\d+\])?)", 1)), lambda p: F.regexp_replace(p, r"\[\d+\]$", "") == F.col("under")))
-    place = lambda u: F.coalesce(F.regexp_extract(u, r"\[(\d+)\]$", 1).try_cast("int"), F.lit(0))
-    last = F.array_max(F.transform(inside, place))
-    inside = F.filter(inside, lambda u: ((F.size("of") == 0) | F.exists("of", lambda t: F.array_contains("typed", F.concat(u, F.lit("="), t)))) & (~F.col("but_last") | (place(u) < last)))
-    each = asked.select("page_id", "ix", "feature", "level", "options", "when", "paths", F.explode(F.when(F.col("under") == "", F.array(F.lit(""))).otherwise(inside)).alias("under"))
-    start = F.when(F.col("under") == "", F.lit("")).otherwise(F.concat("under", F.lit(".")))
-    has = lambda o: F.exists("paths", lambda p: (p == F.concat(start, o)) | p.startswith(F.concat(start, o, F.lit("."))) | p.startswith(F.concat(start, o, F.lit("["))))
-    asks = (F.col("when") == "") | has(F.col("when"))
-    return each.where(asks & ~F.exists("options", has)).select("page_id", "ix", "feature", "level", "under", F.array_join("options", "|").alias("options"))
+    return _of_records(extracted, lacking, ("feature", "level", "under", "options"))
 
 
 def features(extracted: DataFrame) -> DataFrame:
     """page_id, ix, feature and verdict of each record that a feature is for: retired, ineligible (a required property is missing), improvable or complete."""
-    types = extracted.select("page_id", F.explode("records").alias("r")).select("page_id", F.col("r.ix").alias("ix"), F.explode("r.types").alias("type"))
-    r = rules(extracted.sparkSession).groupBy("feature", "type").agg(F.bool_or(F.col("level") == "retired").alias("retired"))
-    lacks = missing(extracted).groupBy("page_id", "ix", "feature").agg(F.bool_or(F.col("level") == "required").alias("no"))
-    known = types.join(F.broadcast(r), "type").groupBy("page_id", "ix", "feature").agg(F.bool_or("retired").alias("retired")).join(lacks, ["page_id", "ix", "feature"], "left")
-    return known.select("page_id", "ix", "feature", F.when(F.col("retired"), "retired").when(F.col("no"), "ineligible").when(F.col("no").isNotNull(), "improvable").otherwise("complete").alias("verdict"))
+    return _of_records(extracted, verdicts, ("feature", "verdict"))
 
 
 _NUMBER = r"^-?\d+(?:\.\d+)?$"

@@ -28,13 +28,13 @@ def _products(spark: SparkSession, sf_dir: str) -> DataFrame:
  union all select p_partkey, 'image', 'Merchant listing' from part where p_partkey % 3 <> 0""",
 )
 def audit_missing_required(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = audit.missing(extract.extract(_products(spark, sf_dir), ("jsonld",)))
+    found = audit.missing(extract.extract(_products(spark, sf_dir), ("jsonld",), ("records",)))
     return found.where("level = 'required'").select("page_id", "options", "feature")
 
 
 @register("audit_verdicts", "select p_partkey as page_id, 'Product snippet' as feature, case when p_partkey % 3 = 0 then 'ineligible' else 'improvable' end as verdict from part union all select p_partkey, 'Merchant listing', 'ineligible' from part")
 def audit_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.features(extract.extract(_products(spark, sf_dir), ("jsonld",))).drop("ix")
+    return audit.features(extract.extract(_products(spark, sf_dir), ("jsonld",), ("records",))).drop("ix")
 
 
 @register(
@@ -44,7 +44,7 @@ def audit_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
  union all select p_partkey, 'datePublished', '2024-02-30', 'date' from part where p_size % 2 = 0""",
 )
 def audit_wrong_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.wrong_values(extract.paths(extract.record_fields(extract.extract(_products(spark, sf_dir), ("jsonld",))))).drop("ix")
+    return audit.wrong_values(extract.paths(extract.record_fields(extract.extract(_products(spark, sf_dir), ("jsonld",), ("records",))))).drop("ix")
 
 
 @register(
@@ -126,7 +126,7 @@ def audit_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
         first=F.when(F.col("p_partkey") % 3 == 0, "").otherwise(',"item":"/a"'), longitude=F.when(F.col("p_partkey") % 2 == 0, "").otherwise(',"longitude":"2"'),
     )
     pages = p.select(F.col("p_partkey").alias("page_id"), F.lit("https://x.example/").alias("url"), html.alias("html"))
-    return audit.missing(extract.extract(pages, ("jsonld",))).drop("ix")
+    return audit.missing(extract.extract(pages, ("jsonld",), ("records",))).drop("ix")
 
 
 @register(
@@ -138,4 +138,4 @@ def value_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spread(table(spark, sf_dir, "part"))
     html = rendered.filled('<html><script type="application/ld+json">{"@context":"https://schema.org","@type":"Product","name":"{{name}}","a/b":"x","offers":[{"price":1},{"price":"{{size}}"}]}</script></html>', name=F.col("p_name"), size=F.col("p_size").cast("string"))
     pages = p.select(F.col("p_partkey").alias("page_id"), F.lit("https://x.example/").alias("url"), html.alias("html"))
-    return extract.places(extract.extract(pages, ("jsonld",)), pages).drop("ix")
+    return extract.places(extract.extract(pages, ("jsonld",), ("records",)), pages).drop("ix")
