@@ -14,6 +14,7 @@ from loomgrain.functions import scalars
 from loomgrain.kernels.texts import texts
 from loomgrain.operators.contract import KEPT, SAMPLES
 from loomgrain.operators.rows import _pages
+from loomgrain.sources.tables import measured
 
 _ARROW = pa.schema([
     ("extractor", pa.string()), ("page_id", pa.int64()), ("ord", pa.int32()), ("path", pa.string()), ("form", pa.string()), ("n_same", pa.int32()), ("depth", pa.int32()), ("value", pa.string()), ("label", pa.string()), ("n_label", pa.int32()),
@@ -62,7 +63,7 @@ def learn(said: DataFrame, examples: DataFrame) -> DataFrame:
     """
     wanted = examples.select("extractor", "page_id", "name", F.explode(_keys(F.col("example"))).alias("key"))
     asked = examples.groupBy("extractor", "name").agg(F.count_distinct("page_id").alias("n_asked"))
-    held = said.withColumn("key", F.explode(_keys(F.col("value")))).join(wanted, ["extractor", "page_id", "key"]).drop("key").distinct()
+    held = measured(said.withColumn("key", F.explode(_keys(F.col("value")))).join(measured(wanted), ["extractor", "page_id", "key"]).drop("key").distinct())
 
     def anchored(anchor: str, once: Column, keys: list[str]) -> DataFrame:
         each = held.where(once).groupBy("extractor", "name", *keys).agg(F.count_distinct("page_id").alias("n"), F.max("depth").alias("depth"), F.min("ord").alias("first"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("label").alias("n_labels"), F.min("path").alias("some_path"))
@@ -76,7 +77,7 @@ def learn(said: DataFrame, examples: DataFrame) -> DataFrame:
     best = by_place.unionByName(by_label).groupBy("extractor", "name").agg(F.min_by(F.struct("anchor", "path", "form", "label"), rank).alias("b")).select("extractor", "name", "b.*")
     values = held.join(best.select("extractor", "name", "anchor", F.col("path").alias("at"), F.col("form").alias("as"), F.col("label").alias("said")), ["extractor", "name"])
     values = values.where((F.col("form") == F.col("as")) & F.when(F.col("anchor") == "place", F.col("path") == F.col("at")).otherwise((F.col("label") == F.col("said")) & (F.col("n_label") == 1)))
-    return best.join(_profile(values), ["extractor", "name"])
+    return measured(best.join(_profile(values), ["extractor", "name"]))
 
 
 def unlearnt(examples: DataFrame, fields: DataFrame) -> DataFrame:
@@ -86,10 +87,11 @@ def unlearnt(examples: DataFrame, fields: DataFrame) -> DataFrame:
 
 def replay(said: DataFrame, fields: DataFrame) -> DataFrame:
     """extractor, page_id, name, path, value, label of each field on each page that has it once."""
-    place = fields.where("anchor = 'place'").select("extractor", "name", "path", "form")
-    label = fields.where("anchor = 'label'").select("extractor", "name", "label", "form")
-    columns = ["extractor", "page_id", "name", "path", "value", "label"]
-    return said.where("n_same = 1").join(place, ["extractor", "path", "form"]).select(columns).unionByName(said.where("n_label = 1").join(label, ["extractor", "label", "form"]).select(columns))
+    own = measured(fields).select("extractor", "name", "form", "anchor", F.when(F.col("anchor") == "place", F.col("path")).otherwise(F.col("label")).alias("at"))
+    at = lambda anchor, once, text: F.when(F.col(once) == 1, F.struct(F.lit(anchor).alias("anchor"), F.col(text).alias("at")))
+    # a text is asked for at its place and behind its label at once, so that pages are read once
+    each = F.explode(F.array_compact(F.array(at("place", "n_same", "path"), at("label", "n_label", "label")))).alias("a")
+    return said.select("extractor", "page_id", "form", "path", "value", "label", each).select("*", "a.*").join(own, ["extractor", "form", "anchor", "at"]).select("extractor", "page_id", "name", "path", "value", "label")
 
 
 def checks(said: DataFrame, pages: DataFrame, fields: DataFrame) -> DataFrame:
@@ -97,8 +99,9 @@ def checks(said: DataFrame, pages: DataFrame, fields: DataFrame) -> DataFrame:
 
     ``pages`` has extractor and page_id: a page that says nothing fails too. Pages of an extractor without fields aren't checked.
     """
+    fields = measured(fields)
     asked = pages.select("extractor", "page_id").join(fields.select("extractor", "name", "anchor", F.col("label").alias("said"), "shape", "reads"), "extractor")
-    m = asked.join(replay(said, fields), ["extractor", "page_id", "name"], "left")
+    m = asked.join(replay(said, fields).hint("merge"), ["extractor", "page_id", "name"], "left")
     v, has = F.col("value"), F.col("value").isNotNull()
     read = F.when(F.col("reads") == "amount", scalars.amount(v).isNotNull()).otherwise(scalars.iso_date(v).isNotNull())
     each = F.array(
@@ -117,16 +120,17 @@ def heal(said: DataFrame, pages: DataFrame, fields: DataFrame) -> DataFrame:
     went; ambiguous: two places hold as many; vanished: none. seen: pages or samples that speak for it.
     """
     n = pages.groupBy("extractor").agg(F.count_distinct("page_id").alias("n_pages"))
+    fields = measured(fields)
     own = fields.select("extractor", "name", "anchor", F.col("path").alias("old"), F.col("label").alias("said"), "form", "shape", "samples")
     fit = F.col("shape").isNull() | scalars.fits(F.col("value"), F.col("shape"))
     sound = replay(said, fields).join(own, ["extractor", "name"]).where(fit & (F.col("said").isNull() | F.col("label").eqNullSafe(F.col("said"))))
     stays = sound.groupBy("extractor", "name").agg(F.count_distinct("page_id").alias("seen"), F.min("path").alias("path")).join(n, "extractor").where(F.col("seen") >= KEPT * F.col("n_pages"))
-    stays = stays.join(own.select("extractor", "name", "said"), ["extractor", "name"]).select("extractor", F.lit("kept").alias("kind"), "name", "path", F.col("said").alias("label"), "seen")
-    left = own.join(stays, ["extractor", "name"], "left_anti")
+    stays = measured(stays.join(own.select("extractor", "name", "said"), ["extractor", "name"]).select("extractor", F.lit("kept").alias("kind"), "name", "path", F.col("said").alias("label"), "seen"))
+    left = measured(own.join(stays, ["extractor", "name"], "left_anti"))
     at_label = said.where("n_label = 1").join(left.where("said is not null").withColumn("label", F.col("said")), ["extractor", "label", "form"]).where(fit)
     at_label = at_label.groupBy("extractor", "name", "path", "label").agg(F.count_distinct("page_id").alias("seen")).join(n, "extractor").where(F.col("seen") >= KEPT * F.col("n_pages"))
     by_label = at_label.groupBy("extractor", "name").agg(F.max_by(F.struct("path", "label", "seen"), F.struct("seen", "path")).alias("b")).select("extractor", F.lit("moved").alias("kind"), "name", "b.path", "b.label", "b.seen")
-    left = left.join(by_label, ["extractor", "name"], "left_anti")
+    left = measured(left.join(by_label, ["extractor", "name"], "left_anti"))
     sample = left.select("extractor", "name", "form", F.explode("samples").alias("sample")).withColumn("key", F.explode(_keys(F.col("sample"))))
     met = said.where("n_same = 1").withColumn("key", F.explode(_keys(F.col("value")))).join(sample, ["extractor", "form", "key"])
     places = met.groupBy("extractor", "name", "path").agg(F.count_distinct("sample").alias("seen"), F.max("depth").alias("depth"), F.max("label").alias("label"))

@@ -35,7 +35,7 @@ def _learnt(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = {"name": F.col("p_name"), "brand": F.col("p_brand"), "size": F.col("p_size").cast("string"), "price": F.concat(F.lit("$"), rendered.money("p_retailprice")), "link": F.concat(F.lit("https://shop.example/m/"), F.col("p_partkey").cast("string")), "colour": F.lit("none of this page")}
     examples = p.select(F.lit("part").alias("extractor"), F.col("p_partkey").alias("page_id"), F.explode(F.create_map(*(x for k, v in said.items() for x in (F.lit(k), v)))).alias("name", "example"))
     pages = _details(spark, sf_dir).where("page_id <= 5")
-    return kept(fields.learn(kept(fields.page_texts(pages)), examples))
+    return fields.learn(fields.page_texts(pages), examples)
 
 
 @register(

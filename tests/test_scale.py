@@ -22,3 +22,24 @@ def test_the_audit_reads_a_page_once_and_joins_nothing(spark, tiny, name):
     df = QUERIES[name](spark, tiny)
     assert _parses(df) == 2  # the parse and the rules
     assert "Join" not in _plan(df) and "Broadcast" not in _plan(df)
+
+
+def _pages_broadcast(df):
+    """Whether a parse stands below a broadcast in the plan."""
+    depth = None
+    for line in _plan(df).splitlines():
+        at = len(re.match(r"[\s:|+-]*", line)[0])
+        if depth is not None and at <= depth:
+            depth = None
+        if "MapInArrow" in line and depth is not None:
+            return True
+        if "BroadcastExchange" in line and depth is None:
+            depth = at
+    return False
+
+
+@pytest.mark.parametrize(("name", "parses"), [("page_fields_run", 1), ("page_fields_drift", 1)])
+def test_fields_are_broadcast_and_pages_are_not(spark, tiny, name, parses):
+    df = QUERIES[name](spark, tiny)
+    assert not _pages_broadcast(df)
+    assert _parses(df) == parses
