@@ -163,7 +163,7 @@ def url_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_table_csv_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     k = F.col("event_id") % 3
-    cell = F.when(k == 0, F.concat(F.lit("="), F.col("event_type"))).when(k == 1, F.round(-F.col("value"), 2).cast("string")).otherwise(F.col("event_type"))
+    cell = F.when(k == 0, F.concat(F.lit("="), F.col("event_type"))).when(k == 1, scalars.rounded(-F.col("value"), 2)).otherwise(F.col("event_type"))
     return e.select("event_id", scalars.formula_safe(cell).alias("cell"))
 
 
