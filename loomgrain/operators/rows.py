@@ -84,14 +84,14 @@ def rows_long(nested: DataFrame) -> DataFrame:
     return rows.select("extractor", "page_id", "row_ix", F.explode("row").alias("c")).select("extractor", "page_id", "row_ix", "c.path", "c.value")
 
 
-def selected(pages: DataFrame, selectors: dict[str, str]) -> DataFrame:
-    """page_id, name, nth, value and place of all that named selectors find. A selector that can't be read is an error at once."""
+def selected(pages: DataFrame, selectors: dict[str, str], closed: bool = False) -> DataFrame:
+    """page_id, name, nth, value and place of all that named selectors find. A selector that can't be read is an error at once. ``closed`` as for kernels.tree.load()."""
     for text in selectors.values():
         compiled(text)
     schema = pa.schema([("page_id", pa.int64()), ("name", pa.string()), ("nth", pa.int32()), ("value", pa.string()), ("place", pa.string())])
 
     def one(page_id: int | None, html: str | None) -> list[dict]:
-        tree = load(html)
+        tree = load(html, closed)
         return [{"page_id": page_id, "name": name, "nth": k, "value": v, "place": w} for name, text in selectors.items() for k, (v, w) in enumerate(compiled(text)(tree))]
 
     return pages.select("page_id", "html").mapInArrow(lambda b: _pages(b, ["page_id", "html"], one, schema), "page_id long, name string, nth int, value string, place string")
