@@ -15,14 +15,14 @@ _TAKEN = "address string, depth int, found_on string, place long"
 
 def admitted(address: Column, site: str | None, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> Column:
     """Whether the rules let an address in: on the site, fitting an ``include`` if there are some, no ``exclude``, and no file."""
-    ok = address.isNotNull() & ~F.coalesce(scalars.names_a_file(address), F.lit(False))
-    if site is not None:
-        ok &= scalars.site(address) == site
+    # the patterns first: they are cheaper to ask than what takes an address apart
+    ok = address.isNotNull()
     if include:
         ok &= reduce(lambda a, b: a | b, (address.rlike(p) for p in include))
     for pattern in exclude:
         ok &= ~address.rlike(pattern)
-    return ok
+    ok &= ~F.coalesce(scalars.names_a_file(address), F.lit(False))
+    return ok if site is None else ok & (scalars.site(address) == site)
 
 
 def crawl(links: DataFrame, start: str, max_pages: int | None = 100, max_depth: int = 3, allowed: Column | None = None, also: DataFrame | None = None) -> DataFrame:
@@ -69,7 +69,9 @@ def _known(level: DataFrame, also: DataFrame | None) -> DataFrame:
 
 def in_batch(urls: DataFrame) -> DataFrame:
     """ord and address of listed addresses, each once at its first place; what is no address of a page is left out."""
-    rows = urls.select("ord", scalars.normalised_url(F.col("url")).alias("address")).where("address is not null")
+    # an address that is listed again as it stands is taken apart once
+    once = urls.groupBy("url").agg(F.min("ord").alias("ord"))
+    rows = once.select("ord", scalars.normalised_url(F.col("url")).alias("address")).where("address is not null")
     return rows.groupBy("address").agg(F.min("ord").alias("ord")).select("ord", "address")
 
 

@@ -10,7 +10,7 @@ from loomgrain.operators.declared import parse
 from loomgrain.plans import rendered
 from loomgrain.plans.registry import register
 from loomgrain.sources import robots, sitemaps
-from loomgrain.sources.tables import kept, table
+from loomgrain.sources.tables import kept, spread, table
 
 _SHOP = "https://shop.example"
 
@@ -18,7 +18,7 @@ _SHOP = "https://shop.example"
 def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of parts that link to the parts that were shipped with them, three for each."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"))
-    n = p.count()
+    n, p = p.count(), spread(p)
     rows = p.select("p", F.posexplode(F.array(*(F.expr(f"(p * 7 + {k * k + 1}) % {n}") for k in range(3)))).alias("ord", "t"))
     at = lambda c: F.concat(F.lit(f"{_SHOP}/p/"), F.col(c).cast("string"))
     return rows.select(at("p").alias("source"), "ord", at("t").alias("target"))

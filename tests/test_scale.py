@@ -43,3 +43,24 @@ def test_fields_are_broadcast_and_pages_are_not(spark, tiny, name, parses):
     df = QUERIES[name](spark, tiny)
     assert not _pages_broadcast(df)
     assert _parses(df) == parses
+
+
+@pytest.mark.parametrize(("name", "parses"), [("link_relations", 1), ("og_arrays", 1), ("diff_kinds", 2), ("conflicts_published", 1), ("conflicts_price", 1), ("summary_contract", 1)])
+def test_pages_are_parsed_once(spark, tiny, name, parses):
+    assert _parses(QUERIES[name](spark, tiny)) == parses
+
+
+@pytest.mark.parametrize("name", ["learn_wanted", "record_paths", "crawl_scope"])
+def test_work_on_pages_is_dealt_to_more_tasks_than_cores(spark, tiny, name):
+    dealt = re.findall(r"RoundRobinPartitioning\((\d+)\)", _plan(QUERIES[name](spark, tiny)))
+    assert dealt and int(dealt[0]) > spark.sparkContext.defaultParallelism
+
+
+def test_a_wanted_listing_is_dealt_behind_its_join(spark, tiny):
+    plan = _plan(QUERIES["learn_wanted"](spark, tiny))
+    assert plan.index("MapInArrow") < plan.index("RoundRobinPartitioning") < plan.index("Join")
+
+
+def test_an_address_listed_again_is_taken_apart_once(spark, tiny):
+    plan = _plan(QUERIES["batch_once"](spark, tiny))
+    assert len(re.findall(r"\bHashAggregate\b", plan)) == 4
