@@ -5,11 +5,13 @@ from __future__ import annotations
 import urllib.parse
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CRAWLERS = "googlebot googlebot-news googlebot-image googlebot-video google-extended bingbot msnbot slurp yandex baiduspider duckduckbot applebot gptbot ccbot".split()
+#: Relations of which a page's first address counts.
+_SINGLE = ("next", "prev", "amphtml", "manifest")
 _FEEDS = {"application/rss+xml": "rss", "application/atom+xml": "atom", "application/feed+json": "json"}
 
 
@@ -47,21 +49,24 @@ def links(parsed: DataFrame) -> DataFrame:
     A single relation keeps its first address; a canonical counts in the head alone, and two different ones are ``canonical_conflict``.
     """
     r = relations(parsed)
-    link = F.col("tag") == "link"
-    kind = F.lower(F.trim(F.split(F.coalesce("type", F.lit("")), ";")[0]))
-    rel = F.when(F.col("rel") == "previous", "prev").otherwise(F.col("rel"))
-    single = r.where(rel.isin("next", "prev") & F.col("tag").isin("link", "a") | (link & rel.isin("amphtml", "manifest"))).groupBy("page_id", rel.alias("kind")).agg(F.min_by("address", "ord").alias("address"))
-    single = single.select("page_id", "kind", "address", F.lit(None).cast("string").alias("lang"))
-    canon = r.where(link & F.col("in_head") & (F.col("rel") == "canonical")).groupBy("page_id", "address").agg(F.min("ord").alias("ord"))
-    counted = canon.groupBy("page_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("ord", "address"))).alias("all"))
-    canonical = counted.select("page_id", F.when(F.col("n") == 1, "canonical").otherwise("canonical_conflict").alias("kind"), F.explode(F.transform("all", lambda x: x["address"])).alias("address"), F.lit(None).cast("string").alias("lang"))
-    alternate = r.where(link & (F.col("rel") == "alternate"))
-    spoken = alternate.where(F.trim(F.coalesce("hreflang", F.lit(""))) != "").groupBy("page_id", "address", F.lower(F.trim("hreflang")).alias("l")).agg(F.min_by(F.trim("hreflang"), "ord").alias("lang"))
-    spoken = spoken.select("page_id", F.lit("alternate").alias("kind"), "address", "lang")
-    silent = alternate.where(F.trim(F.coalesce("hreflang", F.lit(""))) == "")
-    feeds = silent.where(kind.isin(*_FEEDS)).select("page_id", F.concat(F.lit("feed_"), F.create_map(*(F.lit(x) for p in _FEEDS.items() for x in p))[kind]).alias("kind"), "address", F.lit(None).cast("string").alias("lang")).distinct()
-    embeds = silent.where(kind.isin("application/json+oembed", "text/xml+oembed", "application/xml+oembed")).select("page_id", F.lit("oembed").alias("kind"), "address", F.lit(None).cast("string").alias("lang")).distinct()
-    return single.unionByName(canonical).unionByName(spoken).unionByName(feeds).unionByName(embeds)
+    link, rel = F.col("tag") == "link", F.when(F.col("rel") == "previous", "prev").otherwise(F.col("rel"))
+    mime = F.lower(F.trim(F.split(F.coalesce("type", F.lit("")), ";")[0]))
+    spoken = F.trim(F.coalesce("hreflang", F.lit("")))
+    alternate = link & (F.col("rel") == "alternate")
+    feed = F.create_map(*(F.lit(x) for mime_, name in _FEEDS.items() for x in (mime_, f"feed_{name}")))
+    kind = (
+        F.when((rel.isin("next", "prev") & F.col("tag").isin("link", "a")) | (link & rel.isin("amphtml", "manifest")), rel)
+        .when(link & F.col("in_head") & (F.col("rel") == "canonical"), "canonical")
+        .when(alternate & (spoken != ""), "alternate")
+        .when(alternate & mime.isin(*_FEEDS), feed[mime])
+        .when(alternate & mime.isin("application/json+oembed", "text/xml+oembed", "application/xml+oembed"), "oembed")
+    )
+    # one link is of one kind: all kinds are told apart in one aggregate, by what makes two links of a kind the same
+    lang = F.when(F.col("kind") == "alternate", spoken)
+    told = r.select("page_id", "ord", "address", kind.alias("kind"), "hreflang").where("kind is not null").withColumn("lang", lang)
+    each = told.groupBy("page_id", "kind", F.when(~F.col("kind").isin(*_SINGLE), F.col("address")).alias("of"), F.lower("lang").alias("l")).agg(F.min_by(F.struct("address", "lang"), "ord").alias("x"))
+    several = (F.col("kind") == "canonical") & (F.count_if(F.col("kind") == "canonical").over(Window.partitionBy("page_id")) > 1)
+    return each.select("page_id", F.when(several, "canonical_conflict").otherwise(F.col("kind")).alias("kind"), "x.address", "x.lang")
 
 
 def rights(parsed: DataFrame) -> DataFrame:
