@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrain.functions import scalars
@@ -31,9 +31,10 @@ def compare(before: DataFrame, after: DataFrame) -> DataFrame:
     """
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        # a page's answers are few; its declared currency travels with them
-        paid = df.where("question = 'currency'").select("page_id", scalars.currency(F.col("value")).alias(f"{name}_currency"))
-        return df.select("page_id", "question", F.col("value").alias(name)).join(paid, "page_id", "left")
+        # a page's answers are few; its declared currency travels with them, by a window and no join, so that pages are read once
+        paid = F.max(F.when(F.col("question") == "currency", F.col("value"))).over(Window.partitionBy("page_id"))
+        told = df.select("page_id", "question", F.col("value").alias(name), paid.alias("paid"))
+        return told.select("page_id", "question", name, scalars.currency(F.when(F.col("question").startswith("price"), F.col("paid"))).alias(f"{name}_currency"))
 
     both = side(before, "before").join(side(after, "after"), ["page_id", "question"], "full")
     q, old, new = F.col("question"), F.col("before"), F.col("after")
