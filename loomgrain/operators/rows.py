@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgrain.kernels.induced import facts_of_one_thing, induce, induce_wanted, kind, path_of, records
-from loomgrain.kernels.select import compiled
+from loomgrain.kernels.select import compiled, found
 from loomgrain.kernels.tree import Node, base_of, join, load, squeezed
 
 _CELLS = pa.list_(pa.list_(pa.struct([("path", pa.string()), ("value", pa.string())])))
@@ -104,15 +104,14 @@ def selected_rows(pages: DataFrame, rows: str, fields: dict[str, str]) -> DataFr
 
     def one(extractor: str | None, page_id: int | None, url: str | None, html: str | None) -> list[dict]:
         tree = load(html)
-        by_place = {n.xpath(): n for n in tree.iter()}
-        members = [by_place[w] for _, w in compiled(rows)(tree) if w in by_place]
+        members = [n for _, n in found(rows)(tree)]
         out = []
         for m in members:
             top = Node("#row", {}, None)
             top.children = [m]
             cells = {}
             for name, text in fields.items():
-                got = compiled(text)(top)
+                got = found(text)(top)
                 if got and squeezed(got[0][0]):
                     cells[name] = got[0][0]
             if cells:

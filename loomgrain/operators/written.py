@@ -13,9 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgrain.kernels.select import BadSelector, compiled
+from loomgrain.kernels.select import BadSelector, found
 from loomgrain.kernels.tree import Node, base_of, join, load, squeezed
 from loomgrain.operators import contract
+from loomgrain.sources.tables import measured
 
 #: Share of rows on which a field may be found twice before that is a failure.
 TWICE = 0.2
@@ -26,7 +27,7 @@ SCHEMA = "extractor string, page_id long, container string, member string, n_mem
 
 def _read(text: str):
     try:
-        return compiled(text)
+        return found(text)
     except BadSelector:
         return None
 
@@ -42,8 +43,8 @@ def _page(extractor: str | None, page_id: int | None, url: str | None, html: str
     if rows is None:
         members = [tree]
     else:
-        by_place = {n.xpath(): n for n in tree.iter()}
-        members = [by_place[w] for _, w in outer(tree) if w in by_place] if outer else []
+        members = [n for _, n in outer(tree)] if outer else []
+    addressed = {name for name, text in fields if text.rstrip().endswith(("@href", "@src", "attr(href)", "attr(src)"))}
     out = []
     for m in members:
         top = m
@@ -54,9 +55,7 @@ def _page(extractor: str | None, page_id: int | None, url: str | None, html: str
         for name, f in read.items():
             got = [v for v, _ in f(top) if squeezed(v)] if f else []
             if got:
-                text = dict(fields)[name]
-                address = text.rstrip().endswith(("@href", "@src", "attr(href)", "attr(src)"))
-                cells.append({"path": name, "value": join(base, got[0]) if address else got[0], "found": len(got)})
+                cells.append({"path": name, "value": join(base, got[0]) if name in addressed else got[0], "found": len(got)})
         if cells:
             out.append(cells)
     return {"extractor": extractor, "page_id": page_id, "container": rows or "page", "member": rows or "page", "n_members": len(members), "rows": out, "broken": broken}
@@ -64,7 +63,7 @@ def _page(extractor: str | None, page_id: int | None, url: str | None, html: str
 
 def read(pages: DataFrame, written: DataFrame) -> DataFrame:
     """SCHEMA's row for each page of an extractor that ``written`` has: what its selectors find, how often in a row, and which can't be read."""
-    joined = pages.select("extractor", "page_id", "url", "html").join(written.select("extractor", F.col("rows").alias("rows_selector"), F.map_entries("fields").alias("fields")), "extractor")
+    joined = pages.select("extractor", "page_id", "url", "html").join(measured(written).select("extractor", F.col("rows").alias("rows_selector"), F.map_entries("fields").alias("fields")), "extractor")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,7 +98,7 @@ def refused(nested: DataFrame, written: DataFrame) -> DataFrame:
 def checks(nested: DataFrame, listing: DataFrame, columns: DataFrame) -> DataFrame:
     """contract.checks() of read()'s pages, with ``selector`` for selectors that can't be read and ``twice`` for fields found more than once in too many rows."""
     usual = contract.checks(_plain(nested), listing, columns, slots=False)
-    known = nested.join(listing.select("extractor"), "extractor", "left_semi")
+    known = nested.join(measured(listing).select("extractor"), "extractor", "left_semi")
     broken = known.select("extractor", "page_id", F.lit("selector").alias("kind"), F.explode("broken").alias("name"), F.lit(0.0).alias("measured"), F.lit(False).alias("ok"))
     cells = known.select("extractor", "page_id", F.explode("rows").alias("row")).select("extractor", "page_id", F.explode("row").alias("c"))
     often = cells.groupBy("extractor", "page_id", F.col("c.path").alias("name")).agg(F.avg(F.when(F.col("c.found") > 1, 1.0).otherwise(0.0)).alias("measured"))
@@ -113,7 +112,7 @@ def heal(columns: DataFrame, nested: DataFrame, written: DataFrame) -> DataFrame
     A field is kept where its selector still finds something on a page, and values of the learnt shape in KEPT of its rows.
     """
     cells = nested.select("extractor", F.explode("rows").alias("row")).select("extractor", F.explode("row").alias("c")).select("extractor", F.col("c.path").alias("name"), F.col("c.value").alias("value"))
-    learnt = columns.select("extractor", "name", "shape")
+    learnt = measured(columns).select("extractor", "name", "shape")
     fit = F.avg(F.when(F.col("shape").isNull() | contract.scalars.fits(F.col("value"), F.col("shape")), 1.0).otherwise(0.0))
     sound = cells.join(learnt, ["extractor", "name"]).groupBy("extractor", "name").agg((fit >= contract.KEPT).alias("sound"))
     names = written.select("extractor", F.explode(F.map_keys("fields")).alias("name"))
