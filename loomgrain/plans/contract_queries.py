@@ -21,7 +21,7 @@ def _balance() -> Column:
     return F.abs("c_acctbal").cast("decimal(12,2)").cast("string")
 
 
-def _listings(spark: SparkSession, sf_dir: str, name_class: str = "name", bal: Column | None = None, order: str = "name bal") -> DataFrame:
+def _listings(spark: SparkSession, sf_dir: str, name_class: str = "name", bal: Column | None = None, order: str = "name bal", dealt: bool = True) -> DataFrame:
     """Pages of twenty customers, with the class of names, the balance and the order of the columns as asked."""
     c = table(spark, sf_dir, "customer").withColumn("page_id", F.expr(f"c_custkey div {_PAGE}"))
     cells = {
@@ -32,7 +32,8 @@ def _listings(spark: SparkSession, sf_dir: str, name_class: str = "name", bal: C
     pages = c.groupBy("page_id").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", item.alias("h")))), lambda x: x["h"])).alias("list"))
     html = F.concat(F.lit('<html><body><nav><ul><li>a<li>b<li>c</ul></nav><div class="page"><ol class="list">'), F.col("list"), F.lit("</ol></div></body></html>"))
     # spread again: the aggregate's few bytes end in one partition, and the parse would be one task
-    return spread(pages.select(F.lit("shop").alias("extractor"), "page_id", F.lit("https://shop.example/list").alias("url"), html.alias("html")))
+    pages = pages.select(F.lit("shop").alias("extractor"), "page_id", F.lit("https://shop.example/list").alias("url"), html.alias("html"))
+    return spread(pages) if dealt else pages
 
 
 @register(
@@ -114,14 +115,14 @@ def drift_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
  ('moved', 'a.name', 'a.title', 5, 5), ('moved', 'a.name@href', 'a.title@href', 5, 5)) t(kind, name, path, seen, samples)""",
 )
 def heal_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = kept(contract.learn(kept(rows.induced(_listings(spark, sf_dir))))[1])
+    columns = contract.learn(kept(rows.induced(_listings(spark, sf_dir))))[1]
     later = kept(rows.induced(_listings(spark, sf_dir, name_class="title", order="bal name")))
     return contract.heal(columns, later).select("kind", "name", "path", F.col("seen").cast("int").alias("seen"), F.col("samples").cast("int").alias("samples"))
 
 
 @register("healed_contract", "select * from (values ('span.bal', 'span.bal', 'amount'), ('i', 'i', null), ('a.name', 'a.title', null), ('a.name@href', 'a.title@href', null)) t(name, path, reads)")
 def healed_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = kept(contract.learn(kept(rows.induced(_listings(spark, sf_dir))))[1])
+    columns = contract.learn(kept(rows.induced(_listings(spark, sf_dir))))[1]
     later = kept(rows.induced(_listings(spark, sf_dir, name_class="title", order="bal name")))
     return contract.healed(columns, later, contract.heal(columns, later)).select("name", "path", "reads")
 
@@ -133,7 +134,7 @@ def _answers(spark: SparkSession, sf_dir: str, price: Column, extra: str = "") -
         name=F.col("p_name"), key=F.col("p_partkey").cast("string"), price=price,
     )
     pages = p.select(F.col("p_partkey").alias("page_id"), F.lit("https://x.example/").alias("url"), html.alias("html"))
-    return extract.summary_long(extract.extract(pages))
+    return extract.summary_long(extract.extract(pages, parts=("candidates",)))
 
 
 @register(
@@ -157,7 +158,7 @@ def diff_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def summary_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions that all pages answered, held against pages of which every fourth lost its offer."""
     keyed = lambda df: df.withColumn("extractor", F.lit("shop"))
-    before = keyed(_answers(spark, sf_dir, rendered.money("p_retailprice")))
+    before = kept(keyed(_answers(spark, sf_dir, rendered.money("p_retailprice"))))
     pages = keyed(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id")))
     learnt = contract.learn_answers(before, pages)
     after = before.where("page_id % 4 <> 0 or question not in ('price', 'currency')")

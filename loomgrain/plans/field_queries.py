@@ -9,7 +9,7 @@ from loomgrain.operators import contract, fields, rows, written
 from loomgrain.plans import rendered
 from loomgrain.plans.contract_queries import _BAL, _SEEN, _balance, _listings
 from loomgrain.plans.registry import register
-from loomgrain.sources.tables import kept, spread, table
+from loomgrain.sources.tables import kept, measured, spread, table
 
 _MONEY = "cast(cast(p_retailprice as decimal(12,2)) as varchar)"
 _DETAIL = (
@@ -94,7 +94,8 @@ def learn_wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows in which the example of the page's second customer stands, with its columns named as asked."""
     c = table(spark, sf_dir, "customer").where("c_custkey % 20 = 2 or c_custkey = 2")
     examples = c.select(F.expr("c_custkey div 20").alias("page_id"), F.create_map(F.lit("who"), F.col("c_name"), F.lit("owes"), F.concat(F.lit("$ "), _balance()), F.lit("link"), F.concat(F.lit("/c/"), F.col("c_custkey").cast("string")), F.lit("segment"), F.col("c_mktsegment")).alias("wanted"))
-    pages = _listings(spark, sf_dir).join(examples, "page_id")
+    # spread behind the join, whose few bytes may end in one task
+    pages = spread(_listings(spark, sf_dir, dealt=False).join(examples, "page_id"))
     return rows.rows_long(rows.wanted(pages)).select("page_id", "row_ix", F.col("path").alias("name"), "value")
 
 
@@ -152,6 +153,6 @@ def contract_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checks by a contract that went through its JSON."""
     listing, columns = contract.learn(kept(rows.induced(_listings(spark, sf_dir))))
     told = written.to_json(listing, columns, _learnt(spark, sf_dir), _selectors(spark))
-    listing, columns, _, _ = written.from_json(kept(told))
+    listing, columns, _, _ = written.from_json(measured(told))
     found = contract.checks(kept(contract.replay(_listings(spark, sf_dir), listing)), listing, columns)
     return found.where("kind in ('rows', 'field')").select("page_id", "kind", "name", "ok")
