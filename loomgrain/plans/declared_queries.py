@@ -144,7 +144,7 @@ _FOLD_BODY = '<div itemscope itemtype="https://schema.org/Product"><b itemprop="
 )
 def merge_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of records: earlier readers win, later ones fill gaps, and a second item of a vocabulary is a second record."""
-    return extract.record_fields(extract.extract(rendered.parts(spark, sf_dir, _FOLD_HEAD, _FOLD_BODY)))
+    return extract.record_fields(extract.extract(rendered.parts(spark, sf_dir, _FOLD_HEAD, _FOLD_BODY), parts=("records",)))
 
 
 @register("overruled_values", "select p_partkey as page_id, 0 as ix, 'price' as key, cast(p_size as varchar) as value, 'microdata' as source from part")
@@ -152,7 +152,7 @@ def overruled_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a fold of one thing set aside."""
     head = '<script type="application/ld+json">{"@context":"https://schema.org","@type":"Offer","name":"{{name}}","price":"x{{price}}"}</script>'
     body = '<div itemscope itemtype="https://schema.org/Offer"><b itemprop="name"> {{name}} </b><u itemprop="price">{{size}}</u></div>'
-    found = extract.extract(rendered.parts(spark, sf_dir, head, body))
+    found = extract.extract(rendered.parts(spark, sf_dir, head, body), parts=("aside",))
     return found.select("page_id", F.explode("aside").alias("a")).select("page_id", "a.*")
 
 
@@ -162,4 +162,4 @@ def overruled_values(spark: SparkSession, sf_dir: str) -> DataFrame:
  unnest(['name', 'sku', 'brand.@type', 'brand.name', 'offers.@type', 'offers.price', 'offers.priceCurrency', 'offers.availability']) as path, unnest([p_name, 'P' || p_partkey, 'Brand', p_brand, 'Offer', {_MONEY}, 'USD', 'https://schema.org/InStock']) as leaf from part""",
 )
 def record_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.paths(extract.record_fields(extract.extract(rendered.parts(spark, sf_dir, rendered.JSONLD))))
+    return extract.paths(extract.record_fields(extract.extract(rendered.parts(spark, sf_dir, rendered.JSONLD), parts=("records",))))

@@ -22,7 +22,7 @@ _URL = "'https://shop.example/p/' || p_partkey"
 )
 def summary_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = rendered.JSONLD + '<link rel="canonical" href="/p/{{key}}"><meta name="description" content="About {{brand}}"><meta property="og:site_name" content="Shop"><meta property="og:title" content="not this">'
-    found = extract.summary(extract.extract(rendered.parts(spark, sf_dir, head)))
+    found = extract.summary(extract.extract(rendered.parts(spark, sf_dir, head), parts=("candidates",)))
     return found.select("page_id", "title", "description", "url", "language", "site_name", "type", "price", "currency", "availability", "brand", "sku")
 
 
@@ -38,13 +38,13 @@ def summary_price_range(spark: SparkSession, sf_dir: str) -> DataFrame:
         low=F.col("low"), high=F.col("high"), n=F.col("n"),
     )
     pages = rows.select(F.col("l_partkey").alias("page_id"), F.lit("https://x.example/").alias("url"), html.alias("html"))
-    return extract.summary(extract.extract(pages)).select("page_id", "price_low", "price_high", "currency", "rating_count")
+    return extract.summary(extract.extract(pages, parts=("candidates",))).select("page_id", "price_low", "price_high", "currency", "rating_count")
 
 
 @register("summary_breadcrumb", "select p_partkey as page_id, 'Home > ' || p_brand || ' > ' || p_name as breadcrumb from part")
 def summary_breadcrumb(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = '<script type="application/ld+json">{"@context":"https://schema.org","@type":"BreadcrumbList","itemListElement":[{"@type":"ListItem","position":3,"name":"{{name}}"},{"@type":"ListItem","position":1,"item":{"@id":"/","name":"Home"}},{"@type":"ListItem","position":"2","name":"{{brand}}"}]}</script>'
-    return extract.summary(extract.extract(rendered.parts(spark, sf_dir, head))).select("page_id", "breadcrumb")
+    return extract.summary(extract.extract(rendered.parts(spark, sf_dir, head), parts=("candidates",))).select("page_id", "breadcrumb")
 
 
 @register("summary_sources", f"select p_partkey as page_id, 'price' as question, {_MONEY} as value, 'opengraph' as source, 'product:price:amount' as key from part")
@@ -52,7 +52,7 @@ def summary_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A price of two numbers is passed over, and the answer says where it is from."""
     head = '<meta property="product:price:amount" content="{{price}}">'
     body = '<div itemscope itemtype="https://schema.org/Product"><b itemprop="name">n</b><p itemprop="offers" itemscope itemtype="https://schema.org/Offer"><s itemprop="price">{{price}} € 99 €</s></p></div>'
-    return extract.summary_long(extract.extract(rendered.parts(spark, sf_dir, head, body))).where("question = 'price'")
+    return extract.summary_long(extract.extract(rendered.parts(spark, sf_dir, head, body), parts=("candidates",))).where("question = 'price'")
 
 
 _CONFLICT = '<script type="application/ld+json">{"@context":"https://schema.org","@type":"Product","name":"{{name}}","datePublished":"2020-0{{month}}-01T10:00:00Z","offers":{"price":"{{price}}","priceCurrency":"USD"}}</script><meta property="product:price:amount" content="{{other}}"><meta property="article:published_time" content="2020-0{{month2}}-01">'
@@ -70,7 +70,7 @@ def _contradicting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("conflicts_price", f"select p_partkey as page_id, 'price' as question, [{_MONEY}, cast(cast(p_retailprice + 1 as decimal(12,2)) as varchar)] as answers from part where p_partkey % 7 = 0")
 def conflicts_price(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.conflicts(extract.extract(_contradicting(spark, sf_dir))).where("question = 'price'")
+    return extract.conflicts(extract.extract(_contradicting(spark, sf_dir), parts=("aside", "candidates"))).where("question = 'price'")
 
 
 @register(
@@ -78,12 +78,12 @@ def conflicts_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     "select p_partkey as page_id, 'published' as question, ['2020-0' || (p_partkey % 9 + 1) || '-01T10:00:00Z', '2020-0' || ((p_partkey + 1) % 9 + 1) || '-01'] as answers from part where p_partkey % 5 = 0",
 )
 def conflicts_published(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.conflicts(extract.extract(_contradicting(spark, sf_dir))).where("question = 'published'")
+    return extract.conflicts(extract.extract(_contradicting(spark, sf_dir), parts=("aside", "candidates"))).where("question = 'published'")
 
 
 @register("normalised_answers", "select p_partkey as page_id, unnest(['price', 'currency']) as question, unnest([cast(cast(p_retailprice as decimal(12,2)) as varchar), 'USD']) as meaning from part")
 def normalised_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.normalised(extract.summary_long(extract.extract(rendered.parts(spark, sf_dir, rendered.JSONLD))))
+    return extract.normalised(extract.summary_long(extract.extract(rendered.parts(spark, sf_dir, rendered.JSONLD), parts=("candidates",))))
 
 
 # --- scalars over texts made of the tables
@@ -181,7 +181,7 @@ def _of_variants(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
     p = spread(table(spark, sf_dir, "part"))
     html = rendered.filled(f'<html><head><script type="application/ld+json">{template}</script></head></html>', key=F.col("p_partkey").cast("string"), name=F.col("p_name"), brand=F.col("p_brand"), **_three_prices())
     pages = p.select(F.col("p_partkey").alias("page_id"), F.lit("https://x.example/").alias("url"), html.alias("html"))
-    return extract.summary_long(extract.extract(pages))
+    return extract.summary_long(extract.extract(pages, parts=("candidates",)))
 
 
 _SAME = "p_partkey % 4 = 0"
